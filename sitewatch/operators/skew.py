@@ -1,0 +1,24 @@
+"""Finding keys that hold too many rows for one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of one key a single task should sort at most.
+HEAVY_ROWS = 1_000_000
+# Heavy keys listed by value at most; beyond that, callers treat every key as heavy.
+LISTED_KEYS = 10_000
+
+
+def heavy_keys(
+    df: DataFrame, key: str, rows: int = HEAVY_ROWS, listed: int = LISTED_KEYS
+) -> list | None:
+    """Keys with more than ``rows`` rows, or None when there are more than ``listed`` of them.
+
+    Counts are merged before the shuffle. At most ``listed + 1`` keys reach the driver, and
+    there cannot be more of them than the row count divided by ``rows``.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") > rows).select(key).limit(listed + 1).collect()
+    return None if len(found) > listed else [r[0] for r in found]
