@@ -42,6 +42,21 @@ oracle("ml_class_weight", "split", """SELECT next_period_high_risk AS label, COU
   (SUM(COUNT(*)) OVER ())::DOUBLE / (COUNT(*) OVER () * COUNT(*)) AS weight
   FROM split WHERE NOT is_test GROUP BY label""")
 
+_LABELS = ("hist_mode_operator", "hist_mode_state", "hist_mode_network_type", "hist_city")
+_SEEN = {
+    c: f"(SELECT {c}, row_number() OVER (ORDER BY {c}) AS place FROM split WHERE NOT is_test GROUP BY {c})"
+    for c in _LABELS
+}
+_JOINED = "FROM split " + " ".join(
+    f"LEFT JOIN {_SEEN[c]} AS s_{c} ON s_{c}.{c} = split.{c}" for c in _LABELS) + " WHERE is_test"
+oracle("ml_onehot", "split", "SELECT row_id, " + ", ".join(
+    f"coalesce(s_{c}.place, 0) AS {c}_hot" for c in _LABELS) + f" {_JOINED}")
+oracle("ml_assemble", "split", "SELECT row_id, (10 + " + " + ".join(
+    f"(SELECT COUNT(*) FROM {_SEEN[c]})" for c in _LABELS) + ")::INT AS n_features, round(" + " + ".join(
+    [f"split.{c}::DOUBLE" for c in NUMERIC]
+    + [f"CASE WHEN s_{c}.place IS NULL THEN 0 ELSE 1 END" for c in _LABELS]
+) + f", 6) AS total {_JOINED}")
+
 _CELLS = """SELECT COUNT(*) FILTER (label = 1 AND p > 0.5)::DOUBLE AS tp,
   COUNT(*) FILTER (label = 0 AND p > 0.5)::DOUBLE AS fp, COUNT(*) FILTER (label = 1 AND p <= 0.5)::DOUBLE AS fn,
   COUNT(*) FILTER (label = 0 AND p <= 0.5)::DOUBLE AS tn FROM pred"""

@@ -189,6 +189,10 @@ oracle("out_mixture_corr", "obs", """SELECT
   round(corr(downtime_minutes::DOUBLE, avg_users_affected::DOUBLE) FILTER (avg_users_affected > 0), 6)
     AS r_impactful_only FROM obs""")
 
+oracle("out_scatter_sample", "obs", """SELECT row_id, downtime_minutes::DOUBLE AS downtime_minutes,
+  avg_users_affected, avg_users_affected > 0 AS has_impact FROM obs
+  ORDER BY md5(row_id::VARCHAR || ':42'), row_id LIMIT 8000""")
+
 # --- row features
 oracle("feat_calendar", "feat", """SELECT row_id, obs_date, obs_year, obs_quarter, obs_month_number,
   obs_month_name, obs_week_number, obs_day_of_week_name, obs_day_of_week_number, is_weekend FROM feat""")

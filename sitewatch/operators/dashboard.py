@@ -12,8 +12,6 @@ from sitewatch.roles import TOWERS, Roles
 from sitewatch.sources.scratch import frozen
 
 NO_REASON = "None"
-# Dictionary entries up to which a dictionary is broadcast; larger ones are joined by shuffle.
-BROADCAST_ENTRIES = 100_000
 
 
 def _dimensions(roles: Roles) -> dict[str, Column]:
@@ -50,15 +48,13 @@ def legends(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
 def encode(df: DataFrame, dictionary: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFrame:
     """Adds code columns: ``columns`` maps output name to (dimension, value).
 
-    Pass a materialised dictionary. It is broadcast when its counted size allows; otherwise
-    the join strategy is left to Spark. A value without entry gets NULL, no row is lost.
+    Pass a materialised dictionary: the size of its table is known, so Spark broadcasts it
+    exactly when it is small enough. A value without entry gets NULL, no row is lost.
     """
-    small = dictionary.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
     for name, (dimension, value) in columns.items():
         entries = dictionary.where(F.col("dimension") == dimension).select(
             F.col("code").alias(name), F.col("value").alias(f"_{name}")
         )
-        entries = F.broadcast(entries) if small else entries
         df = df.join(entries, value == F.col(f"_{name}"), "left").drop(f"_{name}")
     return df
 
@@ -193,11 +189,10 @@ def crosstab(
 
 def columnar(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """A capped table as one struct of parallel arrays, rows in ``order``."""
-    entry = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("r"))
-    rows = df.agg(F.sort_array(F.collect_list(entry)).alias("rows"))
-    arrays = [
-        F.transform("rows", lambda e, c=c: e["r"][c]).alias(c) for c in df.columns
-    ]
+    columns = [*order, *[c for c in df.columns if c not in order]]
+    rows = df.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    # A field of an array of structs is the array of that field.
+    arrays = [F.col("rows").getField(c).alias(c) for c in df.columns]
     return rows.select(F.struct(*arrays).alias(name))
 
 
@@ -224,6 +219,7 @@ def document(
             F.collect_list(F.struct("dimension", F.transform("entries", lambda e: e["value"])))
         ).alias("legends")
     )
+    figures = [c for c in model_metrics.columns if c != "model"]
     parts = [
         columnar(board, "tw", ["up", "id"]),
         stats.select(F.struct(*stats.columns).alias("tw_stats")),
@@ -235,7 +231,7 @@ def document(
         ),
         model_metrics.agg(
             F.map_from_entries(
-                F.collect_list(F.struct("model", F.struct(*[c for c in model_metrics.columns if c != "model"])))
+                F.collect_list(F.struct("model", F.struct(*figures)))
             ).alias("model_metrics")
         ),
     ]

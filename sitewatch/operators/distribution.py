@@ -190,8 +190,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The same ``n`` rows on every run: those whose seeded key hash is smallest.
+    """The same ``n`` rows on every run: those whose seeded key digest is smallest.
 
     Each partition keeps its own smallest ``n`` before they are merged.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return df.orderBy(digest, F.col(key)).limit(n)

@@ -110,11 +110,7 @@ def assembler(config: ModelConfig = DEFAULTS, scaled: bool = False) -> VectorAss
     )
 
 
-def _columns(config: ModelConfig) -> dict[str, str]:
-    return {
-        "featuresCol": "features", "labelCol": LABEL,
-        "probabilityCol": "probability", "predictionCol": "prediction",
-    }
+_COLUMNS = {"featuresCol": "features", "labelCol": LABEL}
 
 
 def fit_logistic(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineModel:
@@ -125,7 +121,7 @@ def fit_logistic(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineMo
     """
     weighted = add_class_weight(train)
     model = LogisticRegression(
-        **_columns(config), weightCol=WEIGHT, regParam=1.0 / train.count(),
+        **_COLUMNS, weightCol=WEIGHT, regParam=1.0 / train.count(),
         elasticNetParam=0.0, standardization=False, maxIter=config.iterations,
     )
     stages = [*encoder(config), _scaler(train, config.numeric), assembler(config, True), model]
@@ -135,7 +131,7 @@ def fit_logistic(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineMo
 def fit_forest(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineModel:
     """Random forest with balanced weights."""
     model = RandomForestClassifier(
-        **_columns(config), weightCol=WEIGHT, numTrees=config.trees,
+        **_COLUMNS, weightCol=WEIGHT, numTrees=config.trees,
         maxDepth=config.tree_depth, minInstancesPerNode=config.tree_min_rows,
         featureSubsetStrategy="sqrt", seed=config.seed,
     )
@@ -148,7 +144,7 @@ def fit_boosting(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineMo
     """Gradient-boosted trees without weights; stages are checkpointed to cut their lineage."""
     checkpoint_root(train.sparkSession)
     model = GBTClassifier(
-        **_columns(config), maxIter=config.stages, maxDepth=config.stage_depth,
+        **_COLUMNS, maxIter=config.stages, maxDepth=config.stage_depth,
         stepSize=config.stage_rate, checkpointInterval=10, seed=config.seed,
     )
     return Pipeline(stages=[*encoder(config), assembler(config), model]).fit(train)

@@ -50,8 +50,17 @@ def casefold_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def duplicate_row_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Number of distinct rows that occur more than once."""
-    copies = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    """Number of distinct rows that occur more than once.
+
+    Only a hash per row is shuffled for the whole table. Equal rows have equal hashes, so the
+    rows of repeated hashes contain every duplicate, and only those are compared in full.
+    """
+    hashed = df.select(*columns, F.xxhash64(*columns).alias("_hash"))
+    repeated = (
+        hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    )
+    suspects = hashed.join(repeated.select("_hash"), "_hash", "left_semi")
+    copies = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
     return copies.where(F.col("copies") > 1).agg(F.count(F.lit(1)).alias("duplicate_full_rows"))
 
 

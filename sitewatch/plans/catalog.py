@@ -694,9 +694,12 @@ def ml_onehot(spark, folder):
 
     train, test = stages.train_and_test(obs(spark, folder))
     coded = Pipeline(stages=model.encoder()).fit(train).transform(test)
-    labels = model.DEFAULTS.labels
-    return coded.select(
-        "row_id", *[model.vector_to_array(f"{c}_onehot").alias(f"{c}_onehot") for c in labels])
+
+    def hot(c: str):
+        # Position of the one in the vector, from 1; 0 for a value not seen in training.
+        return F.array_position(model.vector_to_array(f"{c}_onehot"), 1.0).alias(f"{c}_hot")
+
+    return coded.select("row_id", *[hot(c) for c in model.DEFAULTS.labels])
 
 
 @query("ml_assemble")
@@ -705,7 +708,11 @@ def ml_assemble(spark, folder):
 
     train, test = stages.train_and_test(obs(spark, folder))
     matrix = Pipeline(stages=[*model.encoder(), model.assembler()]).fit(train).transform(test)
-    return matrix.select("row_id", model.vector_to_array("features").alias("features"))
+    vector = model.vector_to_array("features")
+    total = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x)
+    return rounded(
+        matrix.select("row_id", F.size(vector).alias("n_features"), total.alias("total")),
+        6, "total")
 
 
 def _fitted(name: str, fit, config: model.ModelConfig = model.DEFAULTS) -> None:

@@ -65,8 +65,9 @@ def with_load_order(raw: DataFrame, name: str = "row_id", start: int = 1) -> Dat
     """Contiguous numbering of file rows in load order: files by path, rows by position.
 
     Each input block numbers its rows by itself; one small row per block holds how many
-    rows the blocks before it have. The rows themselves are not shuffled: the block table
-    has one row per input block, and Spark broadcasts it when its measured size allows.
+    rows the blocks before it have. The rows themselves are not shuffled: the broadcast table
+    has one row per input block, as many as the driver lists to plan the scan (under a million
+    for 100 TB in blocks of 128 MB).
     """
     tagged = raw.select(
         "*",
@@ -83,7 +84,7 @@ def with_load_order(raw: DataFrame, name: str = "row_id", start: int = 1) -> Dat
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
     )
     position = F.col("_before") + F.col("_mark") - F.col("_first") + F.lit(start)
-    return tagged.join(starts, ["_file", "_block"]).select(
+    return tagged.join(F.broadcast(starts), ["_file", "_block"]).select(
         position.cast("bigint").alias(name), *raw.columns
     )
 

@@ -32,6 +32,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder: same rows and partitions from here on."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the checkpoint folder and read back.
+
+    Its lineage ends here: a lost executor costs a read instead of a recomputation, and
+    columns with run-dependent values keep them. Being a table of known size with columns to
+    choose from, it is pruned and broadcast like any other.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
