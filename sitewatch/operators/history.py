@@ -290,13 +290,11 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
     )
 
 
-def time_split(examples: DataFrame, day: str = "target_date", fraction: float = 0.8) -> DataFrame:
-    """Adds ``split_date`` and ``is_test``: the last ``1 - fraction`` of the examples by date.
+def split_date(examples: DataFrame, day: str = "target_date", fraction: float = 0.8) -> DataFrame:
+    """One row: the date at position ``floor(fraction * n)`` of the examples in date order.
 
-    The split date is the date at position ``floor(fraction * n)``; all rows of that date are
-    test rows. It is found on the per-date counts, one row per calendar day, so neither the
-    running count nor the broadcast split date grows with the examples. Pass materialised
-    examples: they are read for the counts and again for the rows.
+    It is found on the per-date counts, so the running count runs over one row per calendar
+    day, whatever the number of examples.
     """
     per_day = examples.groupBy(day).agg(F.count(F.lit(1)).alias("n"))
     until = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -306,7 +304,16 @@ def time_split(examples: DataFrame, day: str = "target_date", fraction: float =
         F.sum("n").over(until).alias("until"),
         F.floor(F.sum("n").over(everything) * F.lit(fraction)).alias("cut"),
     )
-    split = placed.where(F.col("until") > F.col("cut")).agg(F.min(day).alias("split_date"))
+    return placed.where(F.col("until") > F.col("cut")).agg(F.min(day).alias("split_date"))
+
+
+def time_split(examples: DataFrame, day: str = "target_date", fraction: float = 0.8) -> DataFrame:
+    """Adds ``split_date`` and ``is_test``: the last ``1 - fraction`` of the examples by date.
+
+    All rows of the split date are test rows. Pass materialised examples: they are read for
+    the split date and again for the rows.
+    """
+    split = split_date(examples, day, fraction)
     return examples.crossJoin(F.broadcast(split)).withColumn(
         "is_test", F.col(day) >= F.col("split_date")
     )

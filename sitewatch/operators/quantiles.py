@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewatch.operators.ordering import running_totals
 
+# Rows up to which one task per column may sort the distinct values.
+ONE_TASK_ROWS = 1_000_000
+
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """One row; each column holds an array with its linearly interpolated quantiles.
 
-    Equal values are counted together first. The distinct values are range-sorted over all
-    tasks with running counts, and the values standing at the wanted ranks are picked out, so
-    no task ever holds the distinct values of a whole column.
+    Equal values are counted together first. Where the row count shows that there are few
+    enough of them, one task per column orders them; otherwise they are range-sorted over all
+    tasks with running counts. Either way the values standing at the wanted ranks are picked
+    out, and no task holds more than ``one_task_rows`` values of a column.
     """
     frequencies = (
         df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -26,29 +33,43 @@ def exact_quantiles(
         .groupBy("measure", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_totals(frequencies, [F.col("measure"), F.col("value")], ["n"])
-    # One row per measure.
-    sizes = ranked.groupBy("measure").agg(
-        F.min("n_before").alias("first"), F.sum("n").alias("size")
-    )
-    start = F.col("n_before") - F.col("first")
-    low, high = [], []
-    for p in probabilities:
+    few = df.count() <= one_task_rows
+    ranked = _ranked_per_column(frequencies) if few else _ranked_globally(frequencies)
+    low, high, between = [], [], []
+    for i, p in enumerate(probabilities):
         place = F.lit(float(p)) * (F.col("size") - 1)
         for ends, rank in ((low, F.floor(place)), (high, F.ceil(place))):
-            here = (start <= rank) & (rank < start + F.col("n"))
+            here = (F.col("start") <= rank) & (rank < F.col("start") + F.col("n"))
             ends.append(F.max(F.when(here, F.col("value"))))
-    found = (
-        ranked.join(F.broadcast(sizes), "measure")
-        .groupBy("measure", "size")
-        .agg(F.array(*low).alias("low"), F.array(*high).alias("high"))
-    )
-    between = []
-    for i, p in enumerate(probabilities):
-        place = F.lit(float(p)) * (F.col("size") - 1)
         lo, hi = F.col("low")[i], F.col("high")[i]
         between.append(lo + (hi - lo) * (place - F.floor(place)))
-    per_measure = found.select("measure", F.array(*between).alias("q"))
-    return per_measure.agg(
+    per_column = (
+        ranked.groupBy("measure", "size")
+        .agg(F.array(*low).alias("low"), F.array(*high).alias("high"))
+        .select("measure", F.array(*between).alias("q"))
+    )
+    return per_column.agg(
         *[F.max(F.when(F.col("measure") == c, F.col("q"))).alias(c) for c in columns]
     )
+
+
+def _ranked_per_column(frequencies: DataFrame) -> DataFrame:
+    """Adds how many values of the column come before (``start``) and in all (``size``)."""
+    column = Window.partitionBy("measure")
+    earlier = column.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return frequencies.select(
+        "*",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"),
+        F.sum("n").over(column).alias("size"),
+    )
+
+
+def _ranked_globally(frequencies: DataFrame) -> DataFrame:
+    """The same from running totals over all columns; there is one broadcast row per column."""
+    totals = running_totals(frequencies, [F.col("measure"), F.col("value")], ["n"])
+    sizes = totals.groupBy("measure").agg(
+        F.min("n_before").alias("first"), F.sum("n").alias("size")
+    )
+    return totals.join(F.broadcast(sizes), "measure").withColumn(
+        "start", F.col("n_before") - F.col("first")
+    )

@@ -79,7 +79,10 @@ def score_quartiles(scored: DataFrame) -> DataFrame:
 
 
 def add_category(scored: DataFrame) -> DataFrame:
-    """Quarter of the score distribution an entity is in. Pass a materialised ``scored``."""
+    """Quarter of the score distribution an entity is in.
+
+    Pass scores of materialised rates: they are read for the quartiles and again for the rows.
+    """
     quartiles = score_quartiles(scored)
     category = at_most(
         F.col("site_reliability_risk_score"), [F.col("q1"), F.col("q2"), F.col("q3")], RISK_LEVELS

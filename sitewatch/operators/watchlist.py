@@ -60,7 +60,10 @@ def add_priority(
 
 
 def output(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(source).alias(name) for name, source in OUTPUT.items()])
+    """Watchlist columns under their output names; a list without ranks leaves them out."""
+    return df.select(
+        *[F.col(source).alias(name) for name, source in OUTPUT.items() if source in df.columns]
+    )
 
 
 def validate(watch: DataFrame, rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:

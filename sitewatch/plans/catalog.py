@@ -110,6 +110,7 @@ def scored_towers(spark: SparkSession, folder: str) -> DataFrame:
     rows = obs(spark, folder)
     last = rows.groupBy("tower_id").agg(F.max("row_id").alias("last_row"))
     towers = history.full_history(rows).join(last, "tower_id")
+    # The probability of an entity is that of its last row.
     return watchlist.add_band(
         towers.withColumn(
             watchlist.PROBABILITY, F.col("last_row") * 37 % 1000 / F.lit(1000.0)
@@ -117,11 +118,16 @@ def scored_towers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stand_in_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return watchlist.merge(scored_towers(spark, folder), stages.score_table(obs(spark, folder)))
+
+
 def stand_in_watchlist(spark: SparkSession, folder: str) -> DataFrame:
-    merged = watchlist.merge(
-        scored_towers(spark, folder), stages.score_table(obs(spark, folder))
-    )
-    return watchlist.output(watchlist.add_priority(merged))
+    return watchlist.output(watchlist.add_priority(stand_in_merged(spark, folder)))
+
+
+def stand_in_unranked(spark: SparkSession, folder: str) -> DataFrame:
+    return watchlist.output(stand_in_merged(spark, folder))
 
 
 def history_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -769,7 +775,7 @@ on("score_category", obs, lambda df: stages.score_table(df).select(
 
 @query("score_dist")
 def score_dist(spark, folder):
-    scored = scratch.frozen(score.add_score(stages.score_components(obs(spark, folder))))
+    scored = score.add_score(stages.score_components(obs(spark, folder)))
     counts = features.counts_by(score.add_category(scored), ["risk_category_final"])
     return rounded(
         counts.crossJoin(F.broadcast(score.score_quartiles(scored))), 6, "q1", "q2", "q3")
@@ -801,13 +807,10 @@ on("wl_prob_band", scored_rows, lambda df: watchlist.add_band(df, "p").select(
 
 @query("wl_merge")
 def wl_merge(spark, folder):
-    merged = watchlist.merge(
-        scored_towers(spark, folder), stages.score_table(obs(spark, folder)))
-    return rounded(
-        merged.select(
-            "tower_id", watchlist.PROBABILITY, "predicted_risk_category", watchlist.SCORE,
-            "risk_category_final"),
-        6, watchlist.SCORE)
+    merged = stand_in_merged(spark, folder).select(
+        "tower_id", watchlist.PROBABILITY, "predicted_risk_category", watchlist.SCORE,
+        "risk_category_final")
+    return rounded(merged, 6, watchlist.SCORE)
 
 
 on("wl_priority", stand_in_watchlist, lambda df: df.select("tower_id", "recommended_priority"))
@@ -848,13 +851,13 @@ def dash_watch_top(spark, folder):
     return dashboard.watch_top(stand_in_watchlist(spark, folder), dictionary(spark, folder))
 
 
-on("dash_watch_stats", stand_in_watchlist, dashboard.watch_stats)
+on("dash_watch_stats", stand_in_unranked, dashboard.watch_stats)
 
 
 @query("dash_crosstab")
 def dash_crosstab(spark, folder):
     return dashboard.crosstab(
-        stand_in_watchlist(spark, folder), summary(spark, folder), dictionary(spark, folder))
+        stand_in_unranked(spark, folder), summary(spark, folder), dictionary(spark, folder))
 
 
 @query("sink_dashboard_json")

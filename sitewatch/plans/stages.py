@@ -29,7 +29,7 @@ def score_components(rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
 
 def score_table(rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     """Rate-based score and category of every entity."""
-    return score.add_category(frozen(score.add_score(score_components(rows, roles))))
+    return score.add_category(score.add_score(score_components(rows, roles)))
 
 
 def examples(rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
@@ -38,8 +38,10 @@ def examples(rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
 
 
 def train_and_test(rows: DataFrame, roles: Roles = TOWERS) -> tuple[DataFrame, DataFrame]:
-    split = frozen(examples(rows, roles))
-    return split.where(~F.col("is_test")), split.where("is_test")
+    """Examples before and from the split date; the date is a value, so reads are filtered."""
+    table = frozen(history.history_features(rows, roles))
+    cut = F.lit(history.split_date(table).first()["split_date"])
+    return table.where(F.col("target_date") < cut), table.where(F.col("target_date") >= cut)
 
 
 def predictions(fitted: PipelineModel, rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
