@@ -44,6 +44,14 @@ def _example_columns(roles: Roles) -> list[str]:
     ]
 
 
+def _inputs(df: DataFrame, roles: Roles) -> DataFrame:
+    """Columns the features read, of rows with an entity; an empty label is an unknown one."""
+    labels = [F.nullif(F.col(c), F.lit("")).alias(c) for c in (roles.place, *roles.labels)]
+    return df.where(F.col(roles.entity).isNotNull()).select(
+        roles.entity, roles.row, roles.day, *labels, *roles.measures
+    )
+
+
 def history_features(
     df: DataFrame,
     roles: Roles = TOWERS,
@@ -52,9 +60,7 @@ def history_features(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Examples of all entities; ``latest_only`` keeps each entity's last one."""
-    rows = df.select(
-        roles.entity, roles.row, roles.day, roles.place, *roles.labels, *roles.measures
-    ).where(F.col(roles.entity).isNotNull())
+    rows = _inputs(df, roles)
     heavy = heavy_keys(rows, roles.entity, heavy_rows)
     if heavy is None:
         examples = history_by_blocks(rows, roles, block_rows)
@@ -245,7 +251,7 @@ def full_history(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     def known(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), when)
 
-    return df.where(F.col(roles.entity).isNotNull()).groupBy(roles.entity).agg(
+    return _inputs(df, roles).groupBy(roles.entity).agg(
         F.count(F.lit(1)).alias("hist_num_observations"),
         mean(roles.uptime).alias("hist_avg_uptime"),
         F.min(roles.uptime).alias("hist_min_uptime"),

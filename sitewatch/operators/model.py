@@ -34,6 +34,7 @@ class ModelConfig:
     numeric: tuple[str, ...] = NUMERIC_FEATURES
     labels: tuple[str, ...] = label_features()
     iterations: int = 1000
+    tolerance: float = 1e-8
     trees: int = 300
     tree_depth: int = 8
     tree_min_rows: int = 20
@@ -123,6 +124,7 @@ def fit_logistic(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineMo
     model = LogisticRegression(
         **_COLUMNS, weightCol=WEIGHT, regParam=1.0 / train.count(),
         elasticNetParam=0.0, standardization=False, maxIter=config.iterations,
+        tol=config.tolerance,
     )
     stages = [*encoder(config), _scaler(train, config.numeric), assembler(config, True), model]
     return Pipeline(stages=stages).fit(weighted)
