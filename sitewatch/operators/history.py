@@ -22,6 +22,7 @@ from sitewatch.functions.numeric import mean, share
 from sitewatch.operators.features import high_risk
 from sitewatch.operators.skew import HEAVY_ROWS, heavy_keys
 from sitewatch.roles import TOWERS, Roles
+from sitewatch.sources.scratch import frozen
 
 # Row numbers per block. Row numbers are unique, so this also bounds the rows of a block.
 BLOCK_ROWS = 1 << 20
@@ -134,17 +135,20 @@ def strictly_before(
     row: str,
     parts: dict[str, tuple[str, Column]],
     block_rows: int,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Adds, per part, the aggregate over all rows of the group earlier in (day, row) order.
 
     ``parts`` maps output name to a kind ("sum", "min" or "max") and the value aggregated.
     No window sees a whole group: one runs over its days, one over the blocks of a day, one
-    over the rows of a block.
+    over the rows of a block. The totals of days and blocks are taken from ``source`` where
+    given: the same rows without the work already stacked on ``df``.
     """
     names = list(parts)
-    rows = df.withColumns(
-        {"_block": F.floor(F.col(row) / block_rows), **{f"_v_{n}": parts[n][1] for n in names}}
-    )
+    inputs = {
+        "_block": F.floor(F.col(row) / block_rows), **{f"_v_{n}": parts[n][1] for n in names}
+    }
+    rows = df.withColumns(inputs)
 
     def total(n: str, source: str) -> Column:
         return _MERGE[parts[n][0]][0](source)
@@ -153,7 +157,7 @@ def strictly_before(
         frame = Window.partitionBy(*by).orderBy(order)
         return total(n, source).over(frame.rowsBetween(Window.unboundedPreceding, -1))
 
-    blocks = rows.groupBy(*group, day, "_block").agg(
+    blocks = (df if source is None else source).withColumns(inputs).groupBy(*group, day, "_block").agg(
         *[total(n, f"_v_{n}").alias(f"_t_{n}") for n in names]
     )
     days = blocks.groupBy(*group, day).agg(*[total(n, f"_t_{n}").alias(f"_t_{n}") for n in names])
@@ -197,8 +201,10 @@ def history_by_blocks(
     rows = df
     for c in roles.labels:
         rows = strictly_before(
-            rows, [entity, c], day, row, {f"_seen_{c}": ("sum", F.lit(1))}, block_rows
+            rows, [entity, c], day, row, {f"_seen_{c}": ("sum", F.lit(1))}, block_rows, df
         )
+    # Read twice from here on.
+    rows = frozen(rows)
     parts: dict[str, tuple[str, Column]] = {
         "_n": ("sum", F.lit(1)),
         "_hit": ("sum", F.when(F.col(roles.users) > 0, 1)),
