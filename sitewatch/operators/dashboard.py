@@ -36,7 +36,7 @@ def legends(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     found = df.select(*[c.alias(name) for name, c in dimensions.items()]).unpivot(
         [], list(dimensions), "dimension", "value"
     )
-    none = df.sparkSession.createDataFrame([("reasons", NO_REASON)], found.schema)
+    none = df.sparkSession.range(1).select(F.lit("reasons"), F.lit(NO_REASON))
     values = found.where(F.col("value").isNotNull()).distinct().union(none).distinct()
     first = (F.col("dimension") == "reasons") & (F.col("value") == NO_REASON)
     by_value = Window.partitionBy("dimension").orderBy((~first).cast("int"), "value")

@@ -181,9 +181,11 @@ def recurring_causes(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
 
 def listed_causes(df: DataFrame, causes: Sequence[str], roles: Roles = TOWERS) -> DataFrame:
     """Totals per cause for a fixed list of causes in list order; unseen causes stay, as NULL."""
-    wanted = df.sparkSession.createDataFrame(
-        list(enumerate(causes)), f"position int, {roles.reason} string"
-    )
+    entries = [
+        F.struct(F.lit(i).alias("position"), F.lit(cause).alias(roles.reason))
+        for i, cause in enumerate(causes)
+    ]
+    wanted = df.sparkSession.range(1).select(F.inline(F.array(*entries)))
     totals = breakdown(
         df, [roles.reason],
         {"n": "n", "total_downtime": "sum_downtime", "total_users": "total_users_affected"},
