@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewatch.operators.ordering import running_totals
 
-# Rows up to which one task per column may sort the distinct values.
+# Rows up to which one task may sort the values of a column.
 ONE_TASK_ROWS = 1_000_000
 
 
@@ -21,55 +21,70 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row; each column holds an array with its linearly interpolated quantiles.
 
-    Equal values are counted together first. Where the row count shows that there are few
-    enough of them, one task per column orders them; otherwise they are range-sorted over all
-    tasks with running counts. Either way the values standing at the wanted ranks are picked
-    out, and no task holds more than ``one_task_rows`` values of a column.
+    The rows are counted first. Up to ``one_task_rows`` values are sorted by one task; more
+    than that are range-sorted over all tasks. Both ways pick the values standing at the
+    wanted ranks and give the same result.
+    """
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if df.count() <= one_task_rows:
+        return _sorted_in_one_task(typed, probabilities)
+    return _sorted_by_all_tasks(typed, probabilities)
+
+
+def _place(p: float, size: Column) -> Column:
+    return F.lit(float(p)) * (size - 1)
+
+
+def _between(low: Column, high: Column, place: Column) -> Column:
+    return low + (high - low) * (place - F.floor(place))
+
+
+def _sorted_in_one_task(df: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    values = df.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in df.columns])
+
+    def quantile(c: str, p: float) -> Column:
+        place = _place(p, F.size(c))
+        low, high = (F.get(c, rank.cast("int")) for rank in (F.floor(place), F.ceil(place)))
+        return _between(low, high, place)
+
+    return values.select(
+        *[F.array(*[quantile(c, p) for p in probabilities]).alias(c) for c in df.columns]
+    )
+
+
+def _sorted_by_all_tasks(df: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Equal values are counted together; the distinct ones get running counts.
+
+    No task holds the distinct values of a whole column.
     """
     frequencies = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], list(columns), "measure", "value")
+        df.unpivot([], df.columns, "measure", "value")
         .where(F.col("value").isNotNull())
         .groupBy("measure", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    few = df.count() <= one_task_rows
-    ranked = _ranked_per_column(frequencies) if few else _ranked_globally(frequencies)
-    low, high, between = [], [], []
-    for i, p in enumerate(probabilities):
-        place = F.lit(float(p)) * (F.col("size") - 1)
+    ranked = running_totals(frequencies, [F.col("measure"), F.col("value")], ["n"])
+    # One row per measure.
+    sizes = ranked.groupBy("measure").agg(
+        F.min("n_before").alias("first"), F.sum("n").alias("size")
+    )
+    start, size = F.col("n_before") - F.col("first"), F.col("size")
+    low, high = [], []
+    for p in probabilities:
+        place = _place(p, size)
         for ends, rank in ((low, F.floor(place)), (high, F.ceil(place))):
-            here = (F.col("start") <= rank) & (rank < F.col("start") + F.col("n"))
+            here = (start <= rank) & (rank < start + F.col("n"))
             ends.append(F.max(F.when(here, F.col("value"))))
-        lo, hi = F.col("low")[i], F.col("high")[i]
-        between.append(lo + (hi - lo) * (place - F.floor(place)))
-    per_column = (
-        ranked.groupBy("measure", "size")
+    found = (
+        ranked.join(F.broadcast(sizes), "measure")
+        .groupBy("measure", "size")
         .agg(F.array(*low).alias("low"), F.array(*high).alias("high"))
-        .select("measure", F.array(*between).alias("q"))
     )
+    quantiles = [
+        _between(F.col("low")[i], F.col("high")[i], _place(p, size))
+        for i, p in enumerate(probabilities)
+    ]
+    per_column = found.select("measure", F.array(*quantiles).alias("q"))
     return per_column.agg(
-        *[F.max(F.when(F.col("measure") == c, F.col("q"))).alias(c) for c in columns]
-    )
-
-
-def _ranked_per_column(frequencies: DataFrame) -> DataFrame:
-    """Adds how many values of the column come before (``start``) and in all (``size``)."""
-    column = Window.partitionBy("measure")
-    earlier = column.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return frequencies.select(
-        "*",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"),
-        F.sum("n").over(column).alias("size"),
-    )
-
-
-def _ranked_globally(frequencies: DataFrame) -> DataFrame:
-    """The same from running totals over all columns; there is one broadcast row per column."""
-    totals = running_totals(frequencies, [F.col("measure"), F.col("value")], ["n"])
-    sizes = totals.groupBy("measure").agg(
-        F.min("n_before").alias("first"), F.sum("n").alias("size")
-    )
-    return totals.join(F.broadcast(sizes), "measure").withColumn(
-        "start", F.col("n_before") - F.col("first")
+        *[F.max(F.when(F.col("measure") == c, F.col("q"))).alias(c) for c in df.columns]
     )
