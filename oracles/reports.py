@@ -372,6 +372,10 @@ oracle("pd_state_top_outages", "feat", _group(
     ["state"], "total_outages", tail="ORDER BY total_outages DESC, state LIMIT 10"))
 oracle("pd_state_top_downtime", "feat", _group(
     ["state"], "total_downtime", tail="ORDER BY total_downtime DESC, state LIMIT 10"))
+oracle("pd_state_top", "feat", " UNION ALL ".join(
+    f"(SELECT '{n}' AS ranking, state, {e}::DOUBLE AS total FROM feat GROUP BY state "
+    f"ORDER BY {e} DESC, state LIMIT 10)"
+    for n, e in (("total_outages", "SUM(outage_count)"), ("total_downtime", "SUM(downtime_minutes)"))))
 oracle("pd_city_rank", "feat", _group(["city"], "avg_uptime", "total_outages"))
 oracle("pd_worst15", "tw", """SELECT tower_id, city, avg_uptime_percentage, total_downtime_minutes FROM tw
   ORDER BY avg_uptime_percentage, tower_id LIMIT 15""")

@@ -16,25 +16,28 @@ def typed_columns(roles: Roles = TOWERS, strict: bool = False) -> dict[str, Colu
     """Typed expression of every raw column.
 
     Text is trimmed, an empty reason becomes NULL, nothing is imputed. ``strict`` lets a bad
-    value fail the job; otherwise a bad value becomes NULL and ``rejects`` reports it.
+    value fail the job, in any cast mode of the session; otherwise a bad value becomes NULL
+    and ``rejects`` reports it.
     """
     columns = {c: F.trim(c) for c in (roles.entity, roles.place, *roles.labels)}
     columns[roles.reason] = F.nullif(F.trim(roles.reason), F.lit(""))
-    if strict:
-        columns[roles.day] = F.col(roles.day).cast("date")
-        columns[roles.uptime] = F.col(roles.uptime).cast(UPTIME_TYPE)
-        columns[roles.downtime] = F.col(roles.downtime).cast(DOWNTIME_TYPE)
-        columns[roles.outages] = F.col(roles.outages).cast("int")
-        columns[roles.users] = F.col(roles.users).cast("int")
-    else:
-        columns[roles.day] = text.calendar_day(roles.day)
-        columns[roles.uptime] = text.number(roles.uptime, UPTIME_TYPE)
-        columns[roles.downtime] = text.number(roles.downtime, DOWNTIME_TYPE)
-        columns[roles.outages] = text.whole_number(roles.outages)
-        columns[roles.users] = text.whole_number(roles.users)
+    parsed = {
+        roles.day: text.calendar_day(roles.day),
+        roles.uptime: text.number(roles.uptime, UPTIME_TYPE),
+        roles.downtime: text.number(roles.downtime, DOWNTIME_TYPE),
+        roles.outages: text.whole_number(roles.outages),
+        roles.users: text.whole_number(roles.users),
+    }
+    for name, value in parsed.items():
+        columns[name] = _or_fail(name, value) if strict else value
     return columns
 
 
+def _or_fail(name: str, value: Column) -> Column:
+    message = F.concat(F.lit(f"bad value in {name}: "), F.col(name))
+    return F.when(_failed(name, value), F.raise_error(message)).otherwise(value)
+
+
 def clean(raw: DataFrame, roles: Roles = TOWERS, strict: bool = True) -> DataFrame:
     """Typed copy of the raw rows, in the raw column order; no row is added or lost."""
     typed = typed_columns(roles, strict)

@@ -625,6 +625,22 @@ on("pd_state_top_outages", obs, lambda df: rollup.top_n(
 on("pd_state_top_downtime", obs, lambda df: rollup.top_n(
     rollup.breakdown(df, ["state"], {"total_downtime": "sum_downtime"}),
     "total_downtime", 10, ["state"]))
+
+
+@query("pd_state_top")
+def pd_state_top(spark, folder):
+    """Both state rankings in one table."""
+    totals = rollup.breakdown(
+        obs(spark, folder), ["state"],
+        {"total_outages": "total_outages", "total_downtime": "sum_downtime"})
+    ranked = None
+    for name in ("total_outages", "total_downtime"):
+        top = rollup.top_n(totals, name, 10, ["state"]).select(
+            F.lit(name).alias("ranking"), "state", F.col(name).cast("double").alias("total"))
+        ranked = top if ranked is None else ranked.unionByName(top)
+    return ranked
+
+
 on("pd_city_rank", obs, lambda df: rollup.breakdown(
     df, ["city"], {"avg_uptime": "mean_uptime", "total_outages": "total_outages"}).orderBy(
         "avg_uptime", "city"))

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 import __spark_entry__ as registry
 import check
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
-def con(tmp_path_factory):
-    connection = check.oracle_connection("/root/testdata/sf0.001")
-    yield connection
-    connection.close()
+def comparisons(spark, request):
+    """Comparisons of the selected queries, several at a time: small jobs are mostly overhead."""
+    con = check.oracle_connection(FOLDER)
+
+    def run(name):
+        return check.compare(QUERIES[name](spark, FOLDER), con.cursor(), ORACLES[name])
+
+    wanted = [
+        item.callspec.params["name"]
+        for item in request.session.items
+        if item.module is request.module and hasattr(item, "callspec")
+    ]
+    with ThreadPoolExecutor(4) as pool:
+        yield {name: pool.submit(run, name) for name in wanted}
+        pool.shutdown(cancel_futures=True)
+    con.close()
 
 
 def test_every_oracle_has_a_query():
@@ -22,8 +37,8 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
-def test_query_matches_sql(spark, folder, con, name):
-    ok, note = check.compare(QUERIES[name](spark, folder), con, ORACLES[name])
+def test_query_matches_sql(comparisons, name):
+    ok, note = comparisons[name].result()
     assert ok, note
 
 
