@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles.tables import (
-    CATEGORY, LABELS, MEASURES, RAW, TYPED, avg_dec, avg_int, cents, half_up, mean, oracle, pct,
+    CATEGORY, LABELS, MEASURES, RAW, TYPED, avg_dec, avg_int, half_up, mean, oracle, pct,
     points, sum_1dp,
 )
 
