@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from struct import pack
@@ -25,9 +26,9 @@ from pyspark.sql import types as T
 from sitewatch.llm.arrow import require, slices
 
 # Entries of each table before it is emptied.
-STATES = 320_000
-PIECES = 250_000
-PAIRS = 1 << 20
+STATES = 200_000
+PIECES = 200_000
+PAIRS = 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -63,11 +64,15 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        # State 0 has read nothing. A place is (tokens held back, last token or -1, trie node).
-        self.places: list[tuple] = [(((), -1, 0),)]
-        self.numbers: dict[tuple, int] = {self.places[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+        # A state is its places, packed: the last token emitted (-1: none, or none of the places
+        # depends on it), then for each place the number of tokens held back, these, and the trie
+        # node. The place at the root, whose tokens spell all that was read, comes first.
+        self.places: list[bytes] = [array("i", (-1, 0, 0)).tobytes()]
+        self.numbers: dict[bytes, int] = {self.places[0]: 0}
+        # state << 8 | byte -> emission << 32 | next state
+        self.moves: dict[int, int] = {}
+        self.emissions: list[tuple[int, ...]] = [()]
+        self.emission_numbers: dict[tuple[int, ...], int] = {(): 0}
 
     def merged(self, data: bytes, below: int = 1 << 62) -> list[int]:
         """Merging by rank, the definition, with the merges ranked lower than ``below``."""
@@ -126,32 +131,46 @@ class Transducer:
                 # The merge in the right token comes after one of its rank at the seam.
                 right, bar = b[0], right + 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        reached, child, token_at, inner = [], self.child, self.token_at, self.inner
-        whole = None
-        for held, last, node in self.places[state]:
-            node = child.get(node << 8 | byte)
-            if node is None:
-                continue
-            if inner[node]:
-                reached.append((held, last, node))
-            token = token_at[node]
-            # Only one sequence of compatible tokens spells what has been read.
-            if token >= 0 and whole is None and self.compatible(last, token):
-                whole = ((*held, token), token, 0)
-        reached.append(whole)
-        common, first = 0, min(reached, key=_length)[0]
-        for token in first:
-            if any(p[0][common] != token for p in reached):
-                break
-            common += 1
-        if common:
-            reached = [(held[common:], last, node) for held, last, node in reached]
-        places = tuple(reached)
+    def _state(self, places: bytes) -> int:
         number = self.numbers.setdefault(places, len(self.places))
         if number == len(self.places):
             self.places.append(places)
-        step = self.moves[state << 8 | byte] = (number, first[:common])
+        return number
+
+    def _move(self, state: int, byte: int) -> int:
+        child, token_at, inner = self.child, self.token_at, self.inner
+        packed = memoryview(self.places[state]).cast("i").tolist()
+        last, i, whole, reached = packed[0], 1, None, []
+        while i < len(packed):
+            end = i + 1 + packed[i]
+            node = child.get(packed[end] << 8 | byte)
+            if node is not None:
+                held = packed[i + 1 : end]
+                if inner[node]:
+                    reached.append((held, node))
+                token = token_at[node]
+                # Only one sequence of compatible tokens spells what has been read.
+                if token >= 0 and whole is None and self.compatible(held[-1] if held else last, token):
+                    whole = [*held, token]
+            i = end + 1
+        common = len(whole)
+        for held, _ in reached:
+            common = min(common, len(held))
+            while held[:common] != whole[:common]:
+                common -= 1
+        emitted = tuple(whole[:common])
+        if emitted:
+            last = emitted[-1]
+        if len(whole) > common and all(len(held) > common for held, _ in reached):
+            last = -1
+        out = [last, len(whole) - common, *whole[common:], 0]
+        for held, node in reached:
+            out += (len(held) - common, *held[common:], node)
+        emission = self.emission_numbers.setdefault(emitted, len(self.emissions))
+        if emission == len(self.emissions):
+            self.emissions.append(emitted)
+        step = self._state(array("i", out).tobytes()) | emission << 32
+        self.moves[state << 8 | byte] = step
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -161,27 +180,28 @@ class Transducer:
             return [whole]
         if len(self.places) > self.most_states:
             self._reset()
-        state, out, moves = 0, [], self.moves
+        state, out, known = 0, [], self.moves.get
         for byte in piece:
-            step = moves.get(state << 8 | byte)
+            step = known(state << 8 | byte)
             if step is None:
                 if len(self.places) > 2 * self.most_states:  # within one very long piece
-                    kept = self.places[state]
+                    places = self.places[state]
                     self._reset()
-                    moves = self.moves
-                    state = self.numbers.setdefault(kept, len(self.places))
-                    if state == len(self.places):
-                        self.places.append(kept)
+                    known = self.moves.get
+                    state = self._state(places)
                 step = self._move(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        out += self.places[state][-1][0]  # the place that ends with a whole token
+            if step < _EMITS:
+                state = step
+            else:
+                state = step & _EMITS - 1
+                out += self.emissions[step >> 32]
+        held = memoryview(self.places[state]).cast("i")
+        out += held[2 : 2 + held[1]]
         return out
 
 
-def _length(place: tuple) -> int:
-    return len(place[0])
+# Steps from here on emit tokens.
+_EMITS = 1 << 32
 
 
 class Encoder:
