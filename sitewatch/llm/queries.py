@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm import bpe
+from sitewatch.llm import bpe, hamming, hilbert, mixture, simhash, warc
 from sitewatch.llm.arrow import table
+from sitewatch.llm.files import shared_folder
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +23,98 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, shingle=4, radius=4)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    read = warc.archive_round_trip(pages, shared_folder(spark, "warc"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_hamming(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    codes = hamming.sign_codes(vectors, "vec_id", "embedding", 64)
+    queries = codes.where("key % 100 = 0")
+    return hamming.nearest(codes, queries, k, 64).select(
+        F.col("query").alias("query_id"),
+        F.col("rank").cast("int").alias("rank"),
+        F.col("key").alias("vec_id"),
+        F.col("distance").cast("int").alias("distance"),
+    )
+
+
+def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        "source",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+    )
+    placed = hilbert.shards(
+        docs, ["source", "lang", "size"], ties=["size", "text_crc32", "doc_id"], count=24
+    )
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixture.word_count("text").alias("size")
+    )
+    mixed = mixture.mix(docs, "size", weights=(3, 1, 2), share=1.5, ceiling=2)
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
+    "op7_hamming": op7_hamming,
+    "op8_hilbert": op8_hilbert,
+    "op10_mixture": op10_mixture,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body FROM pages
+        ), d AS (
+            SELECT page_id, strlen(body) AS n, sha1(body) AS digest,
+                   max(page_id) OVER (PARTITION BY body) AS holder
+            FROM p
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n < 1000 OR holder IS NULL OR page_id = holder THEN 'response'
+                    ELSE 'revisit' END AS record_type,
+               CASE WHEN n < 1000 OR page_id = holder THEN NULL ELSE holder END AS refers_to
+        FROM d""",
+    "op7_hamming": """
+        WITH codes AS (
+            SELECT vec_id, [x > 0 FOR x IN embedding] AS bits
+            FROM embeddings WHERE len(embedding) = 64
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   len(list_filter(list_zip(q.bits, c.bits), lambda x: x[1] <> x[2]))::INTEGER
+                       AS distance
+            FROM codes q, codes c WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank
+            FROM pairs
+        )
+        SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
+}
