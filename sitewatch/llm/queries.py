@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm import bpe, hamming, hilbert, mixture, simhash, warc
+from sitewatch.llm import bpe, hamming, hilbert, mixture, quality, rans, simhash, suffixes, toxicity, warc
 from sitewatch.llm.arrow import table
 from sitewatch.llm.files import shared_folder
 
@@ -23,6 +23,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text"
+    )
+    found = suffixes.duplicate_passages(docs)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("begins").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, shingle=4, radius=4)
@@ -39,6 +53,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.assess(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality_score")
+
+
+def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    files = rans.write_token_files(docs, tokenizer, shared_folder(spark, "ids"), end_id=2)
+    return rans.read_token_files(files)
+
+
 def op7_hamming(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     codes = hamming.sign_codes(vectors, "vec_id", "embedding", 64)
@@ -69,6 +96,20 @@ def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    network = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs.drop("lang"), network)
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", mixture.word_count("text").alias("size")
@@ -81,10 +122,14 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
+    "op5_quality": op5_quality,
+    "op6_rans": op6_rans,
     "op7_hamming": op7_hamming,
     "op8_hilbert": op8_hilbert,
+    "op9_toxicity": op9_toxicity,
     "op10_mixture": op10_mixture,
 }
 

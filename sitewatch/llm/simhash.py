@@ -77,7 +77,7 @@ class BKTree:
     def __init__(self, values: np.ndarray):
         self.values = values
         self.children: list[dict[int, int]] = [{} for _ in range(len(values))]
-        rest = [(np.arange(len(values)), -1, 0)]
+        rest = [(np.arange(len(values)), -1, 0)] if len(values) else []
         while rest:
             inside, parent, distance = rest.pop()
             node, inside = int(inside[0]), inside[1:]

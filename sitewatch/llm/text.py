@@ -1,0 +1,17 @@
+"""Text from bytes that need not be whole characters."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def lenient_text(column: str) -> Column:
+    """UTF-8 text of a binary column, without the bytes that are no whole characters."""
+
+    @F.pandas_udf("string")
+    def decoded(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decoded(F.col(column))
