@@ -3,10 +3,12 @@
 Every observation but an entity's first becomes one example: features over the strictly
 earlier rows of the entity, in (day, row) order, and the row's own risk flag as the target.
 
-Ordinary entities are handled by one window over all features: one shuffle, one sort. An entity
-with more rows than one task should sort is cut into blocks of at most ``BLOCK_ROWS`` rows, and
-what precedes a row is what precedes its day, plus what precedes its block within the day, plus
-what precedes it within the block. Both ways give the same rows.
+The rows are range-sorted over all tasks by (entity, day, row) and written once, so every task
+holds one stretch of the order. Most entities lie within a stretch; one window gives all their
+features. An entity that crosses into the next stretch is cut there: what precedes a row is what
+its entity's earlier stretches hold, plus what precedes it within its own. There is at most one
+such entity for each border between stretches, and no task ever holds more of an entity than a
+stretch, however many rows the entity has.
 """
 
 from __future__ import annotations
@@ -20,13 +22,10 @@ from pyspark.sql import functions as F
 
 from sitewatch.functions.numeric import mean, share
 from sitewatch.operators.features import high_risk
-from sitewatch.operators.skew import HEAVY_ROWS, heavy_keys
+from sitewatch.operators.ordering import sorted_chunks
 from sitewatch.roles import TOWERS, Roles
 from sitewatch.sources.scratch import frozen
 
-# Row numbers per block. Row numbers are unique, so this also bounds the rows of a block.
-BLOCK_ROWS = 1 << 20
-
 NUMERIC_FEATURES = (
     "hist_num_observations", "hist_avg_uptime", "hist_min_uptime", "hist_avg_downtime",
     "hist_max_downtime", "hist_total_downtime", "hist_avg_outage_count",
@@ -54,24 +53,16 @@ def _inputs(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def history_features(
-    df: DataFrame,
-    roles: Roles = TOWERS,
-    latest_only: bool = False,
-    heavy_rows: int = HEAVY_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    df: DataFrame, roles: Roles = TOWERS, latest_only: bool = False
 ) -> DataFrame:
     """Examples of all entities; ``latest_only`` keeps each entity's last one."""
-    rows = _inputs(df, roles)
-    heavy = heavy_keys(rows, roles.entity, heavy_rows)
-    if heavy is None:
-        examples = history_by_blocks(rows, roles, block_rows)
-    elif not heavy:
-        examples = history_by_window(rows, roles)
-    else:
-        in_heavy = F.col(roles.entity).isin(heavy)
-        examples = history_by_window(rows.where(~in_heavy), roles).unionByName(
-            history_by_blocks(rows.where(in_heavy), roles, block_rows)
-        )
+    order = [F.col(c) for c in (roles.entity, roles.day, roles.row)]
+    rows = sorted_chunks(_inputs(df, roles), order)
+    across = crossing_entities(rows, roles)
+    # One row per border at most.
+    inside = rows.join(F.broadcast(across), roles.entity, "left_anti")
+    cut = rows.join(F.broadcast(across), roles.entity, "left_semi")
+    examples = history_by_window(inside, roles).unionByName(history_by_chunks(cut, roles))
     if latest_only:
         last = examples.groupBy(roles.entity).agg(
             F.max(F.struct("target_date", roles.row, *_rest(examples, roles))).alias("e")
@@ -80,6 +71,20 @@ def history_features(
     return examples
 
 
+def crossing_entities(chunks: DataFrame, roles: Roles = TOWERS) -> DataFrame:
+    """Entities whose rows end one chunk and begin the next: one row per border at most."""
+    ends = chunks.groupBy("_chunk").agg(
+        F.min(roles.entity).alias("first"), F.max(roles.entity).alias("last")
+    )
+    before = F.lag("last").over(Window.orderBy("_chunk"))
+    return (
+        ends.select("first", before.alias("before"))
+        .where(F.col("first") == F.col("before"))
+        .select(F.col("first").alias(roles.entity))
+        .distinct()
+    )
+
+
 def _rest(examples: DataFrame, roles: Roles) -> list[str]:
     return [c for c in examples.columns if c not in (roles.entity, roles.row, "target_date")]
 
@@ -131,78 +136,53 @@ _MERGE = {
 def strictly_before(
     df: DataFrame,
     group: Sequence[str],
-    day: str,
-    row: str,
+    order: Sequence[str],
     parts: dict[str, tuple[str, Column]],
-    block_rows: int,
-    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds, per part, the aggregate over all rows of the group earlier in (day, row) order.
+    """Adds, per part, the aggregate over all rows of the group earlier in ``order``.
 
-    ``parts`` maps output name to a kind ("sum", "min" or "max") and the value aggregated.
-    No window sees a whole group: one runs over its days, one over the blocks of a day, one
-    over the rows of a block. The totals of days and blocks are taken from ``source`` where
-    given: the same rows without the work already stacked on ``df``.
+    ``parts`` maps output name to a kind ("sum", "min" or "max") and the value aggregated. Rows
+    are in chunks (``_chunk``) that follow the order. No window sees a whole group: one runs
+    over the chunks it is in, one over its rows in a chunk.
     """
     names = list(parts)
-    inputs = {
-        "_block": F.floor(F.col(row) / block_rows), **{f"_v_{n}": parts[n][1] for n in names}
-    }
-    rows = df.withColumns(inputs)
+    rows = df.withColumns({f"_v_{n}": parts[n][1] for n in names})
 
     def total(n: str, source: str) -> Column:
         return _MERGE[parts[n][0]][0](source)
 
-    def over(n: str, source: str, by: Sequence[str], order: str) -> Column:
-        frame = Window.partitionBy(*by).orderBy(order)
+    def over(n: str, source: str, by: Sequence[str], within: Sequence[str]) -> Column:
+        frame = Window.partitionBy(*by).orderBy(*within)
         return total(n, source).over(frame.rowsBetween(Window.unboundedPreceding, -1))
 
-    blocks = (df if source is None else source).withColumns(inputs).groupBy(*group, day, "_block").agg(
+    chunks = rows.groupBy(*group, "_chunk").agg(
         *[total(n, f"_v_{n}").alias(f"_t_{n}") for n in names]
     )
-    days = blocks.groupBy(*group, day).agg(*[total(n, f"_t_{n}").alias(f"_t_{n}") for n in names])
-    before_day = days.select(
-        *[F.col(g).alias(f"_g_{g}") for g in (*group, day)],
-        *[over(n, f"_t_{n}", group, day).alias(f"_d_{n}") for n in names],
-    )
-    before_block = blocks.select(
-        *group, day, "_block",
-        *[over(n, f"_t_{n}", [*group, day], "_block").alias(f"_b_{n}") for n in names],
+    keys = [*group, "_chunk"]
+    carried = chunks.select(
+        *[F.col(k).alias(f"_g_{k}") for k in keys],
+        *[over(n, f"_t_{n}", group, ["_chunk"]).alias(f"_c_{n}") for n in names],
     )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
 
-    def same(keys: Sequence[str]) -> Column:
-        return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    def merged(n: str) -> Column:
+        return _MERGE[parts[n][0]][1](F.col(f"_c_{n}"), over(n, f"_v_{n}", keys, order))
 
-    def merged(n: str, a: str, b: Column) -> Column:
-        return _MERGE[parts[n][0]][1](F.col(a), b)
+    return rows.join(carried, same).select(*df.columns, *[merged(n).alias(n) for n in names])
 
-    carried = before_block.join(before_day, same([*group, day])).select(
-        *[F.col(k).alias(f"_g_{k}") for k in (*group, day, "_block")],
-        *[merged(n, f"_d_{n}", F.col(f"_b_{n}")).alias(f"_c_{n}") for n in names],
-    )
-    keys = [*group, day, "_block"]
-    return rows.join(carried, same(keys)).select(
-        *df.columns,
-        *[merged(n, f"_c_{n}", over(n, f"_v_{n}", keys, row)).alias(n) for n in names],
-    )
 
-
-def history_by_blocks(
-    df: DataFrame, roles: Roles = TOWERS, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """The same examples as ``history_by_window`` for entities of any size.
+def history_by_chunks(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
+    """The same examples as ``history_by_window`` for entities in any number of chunks.
 
     The most frequent earlier label comes from occurrence numbers: the k-th row with a label
     carries k, so over the earlier rows the highest k belongs to the most frequent label, and
     of several such labels the smallest is taken. Both steps are sums and minimums, which
-    blocks can pass on.
+    chunks can pass on.
     """
     entity, day, row = roles.entity, roles.day, roles.row
     rows = df
     for c in roles.labels:
-        rows = strictly_before(
-            rows, [entity, c], day, row, {f"_seen_{c}": ("sum", F.lit(1))}, block_rows, df
-        )
+        rows = strictly_before(rows, [entity, c], [day, row], {f"_seen_{c}": ("sum", F.lit(1))})
     # Read twice from here on.
     rows = frozen(rows)
     parts: dict[str, tuple[str, Column]] = {
@@ -220,7 +200,7 @@ def history_by_blocks(
             (-(F.coalesce(f"_seen_{c}", F.lit(0)) + 1)).alias("k"), F.col(c).alias("label")
         )
         parts[f"_mode_{c}"] = ("min", F.when(F.col(c).isNotNull(), occurrence))
-    before = strictly_before(rows, [entity], day, row, parts, block_rows)
+    before = strictly_before(rows, [entity], [day, row], parts)
 
     def average(c: str) -> Column:
         return F.try_divide(F.col(f"_sum_{c}").cast("double"), F.col(f"_known_{c}"))
@@ -277,7 +257,8 @@ def full_history(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
 
 def observation_counts(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     """How many entities can supply examples and how many were seen only once."""
-    counts = df.groupBy(roles.entity).agg(F.count(F.lit(1)).alias("n"))
+    known = df.where(F.col(roles.entity).isNotNull())
+    counts = known.groupBy(roles.entity).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(
         F.count_if(F.col("n") >= 2).alias("modelable_towers"),
         F.count_if(F.col("n") == 1).alias("single_observation_towers"),

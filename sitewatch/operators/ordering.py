@@ -18,7 +18,8 @@ from sitewatch.sources.scratch import frozen
 _ROW_BITS = 33
 
 
-def _sorted_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def sorted_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` range-sorted and frozen, with ``_chunk`` and the place ``_slot``, both ascending."""
     marked = df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id())
     return frozen(marked).withColumn("_chunk", F.shiftright("_slot", _ROW_BITS))
 
@@ -35,7 +36,7 @@ def _totals_before(chunks: DataFrame, totals: dict[str, Column]) -> DataFrame:
 
 def global_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """1-based position of every row in ``order``, which must leave no ties."""
-    chunks = _sorted_chunks(df, order)
+    chunks = sorted_chunks(df, order)
     before = _totals_before(chunks, {"_before": F.count(F.lit(1))})
     inside = F.col("_slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     # One row per partition: bounded by the partition count, not by the data.
@@ -50,7 +51,7 @@ def running_totals(df: DataFrame, order: Sequence[Column], totals: Sequence[str]
     ``order`` must leave no ties. A row's total is what the partitions before its own sum to
     plus what precedes it inside its partition.
     """
-    chunks = _sorted_chunks(df, order)
+    chunks = sorted_chunks(df, order)
     before = _totals_before(chunks, {f"_{t}": F.sum(t) for t in totals})
     inside = (
         Window.partitionBy("_chunk").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,27 +9,6 @@ from pyspark.sql import functions as F
 
 from sitewatch.operators.ordering import running_totals
 
-# Rows up to which one task may sort the values of a column.
-ONE_TASK_ROWS = 1_000_000
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
-    """One row; each column holds an array with its linearly interpolated quantiles.
-
-    The rows are counted first. Up to ``one_task_rows`` values are sorted by one task; more
-    than that are range-sorted over all tasks. Both ways pick the values standing at the
-    wanted ranks and give the same result.
-    """
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if df.count() <= one_task_rows:
-        return _sorted_in_one_task(typed, probabilities)
-    return _sorted_by_all_tasks(typed, probabilities)
-
 
 def _place(p: float, size: Column) -> Column:
     return F.lit(float(p)) * (size - 1)
@@ -39,26 +18,18 @@ def _between(low: Column, high: Column, place: Column) -> Column:
     return low + (high - low) * (place - F.floor(place))
 
 
-def _sorted_in_one_task(df: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    values = df.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in df.columns])
-
-    def quantile(c: str, p: float) -> Column:
-        place = _place(p, F.size(c))
-        low, high = (F.get(c, rank.cast("int")) for rank in (F.floor(place), F.ceil(place)))
-        return _between(low, high, place)
-
-    return values.select(
-        *[F.array(*[quantile(c, p) for p in probabilities]).alias(c) for c in df.columns]
-    )
-
-
-def _sorted_by_all_tasks(df: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Equal values are counted together; the distinct ones get running counts.
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    """One row; each column holds an array with its linearly interpolated quantiles.
 
-    No task holds the distinct values of a whole column.
+    Equal values are counted together; the distinct ones get running counts over all tasks, and
+    those standing at the wanted ranks are picked. No task holds the distinct values of a whole
+    column, and the plan is the same for any number of rows. A column without values has NULLs.
     """
+    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     frequencies = (
-        df.unpivot([], df.columns, "measure", "value")
+        typed.unpivot([], typed.columns, "measure", "value")
         .where(F.col("value").isNotNull())
         .groupBy("measure", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -86,5 +57,5 @@ def _sorted_by_all_tasks(df: DataFrame, probabilities: Sequence[float]) -> DataF
     ]
     per_column = found.select("measure", F.array(*quantiles).alias("q"))
     return per_column.agg(
-        *[F.max(F.when(F.col("measure") == c, F.col("q"))).alias(c) for c in df.columns]
+        *[F.max(F.when(F.col("measure") == c, F.col("q"))).alias(c) for c in columns]
     )

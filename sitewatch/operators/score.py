@@ -20,8 +20,8 @@ EQUAL_WEIGHTS = {
 
 
 def entity_rates(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
-    """Per-observation averages of every entity."""
-    return df.groupBy(roles.entity).agg(
+    """Per-observation averages of every entity; rows without one belong to none."""
+    return df.where(F.col(roles.entity).isNotNull()).groupBy(roles.entity).agg(
         mean(roles.uptime).alias("avg_uptime_percentage"),
         mean(roles.downtime).alias("avg_downtime_minutes"),
         mean(roles.outages).alias("avg_outage_count"),

@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sitewatch.operators import history, skew
+from sitewatch.operators import history
+from sitewatch.operators.ordering import sorted_chunks
 from sitewatch.sources.observations import observations
 
 def same_rows(a, b):
@@ -27,27 +28,43 @@ def hot(spark, folder):
     )
 
 
-@pytest.mark.parametrize("block_rows", [1, 64])
-def test_blocks_give_the_window_result(hot, block_rows):
-    assert same_rows(
-        history.history_by_window(hot), history.history_by_blocks(hot, block_rows=block_rows)
-    )
+ORDER = ["tower_id", "obs_date", "row_id"]
+
+
+@pytest.fixture
+def in_chunks(hot, many_partitions):
+    return sorted_chunks(hot, [F.col(c) for c in ORDER])
 
 
-def test_heavy_entities_are_split_off(hot):
-    assert skew.heavy_keys(hot, "tower_id", 100) == ["CTA-0"]
-    plain = history.history_features(hot)
-    split = history.history_features(hot, heavy_rows=100, block_rows=16)
-    assert same_rows(plain, split)
+def test_chunks_give_the_window_result(hot, in_chunks):
+    assert same_rows(history.history_by_window(hot), history.history_by_chunks(in_chunks))
 
 
-def test_too_many_heavy_keys_to_list(hot):
-    assert skew.heavy_keys(hot, "tower_id", 1, listed=3) is None
+def test_both_ways_together_give_the_window_result(hot, in_chunks):
+    across = [r[0] for r in history.crossing_entities(in_chunks).collect()]
+    assert "CTA-0" in across and len(across) < 8
+    assert same_rows(history.history_by_window(hot), history.history_features(hot))
 
 
-def test_all_entities_by_blocks(hot, monkeypatch):
-    monkeypatch.setattr(history, "heavy_keys", lambda *a: None)
-    assert same_rows(history.history_by_window(hot), history.history_features(hot, block_rows=32))
+def test_no_task_holds_a_hot_entity_even_with_hashed_row_numbers(hot, many_partitions):
+    """A third of the rows are one tower's; row numbers are far apart."""
+    rows = hot.withColumn("row_id", F.xxhash64("row_id"))
+    chunks = sorted_chunks(rows, [F.col(c) for c in ORDER])
+    total, hot_rows = rows.count(), rows.where("tower_id = 'CTA-0'").count()
+    assert hot_rows > 0.3 * total
+    largest = chunks.groupBy("_chunk", "tower_id").count().agg(F.max("count")).first()[0]
+    assert largest < 0.2 * total and chunks.select("_chunk").distinct().count() > 4
+    assert same_rows(history.history_by_window(rows), history.history_features(rows))
+
+
+def test_rows_without_entity_count_for_nothing(make_obs):
+    known = [{"tower_id": "AAA-1"}, {"tower_id": "AAA-1"}, {"tower_id": "AAA-2"}]
+    unknown = [{"tower_id": None, "row_id": 90 + i} for i in range(3)]
+    row = history.observation_counts(make_obs(known + unknown)).first()
+    assert (row["modelable_towers"], row["single_observation_towers"]) == (1, 1)
+    assert same_rows(
+        history.history_features(make_obs(known)), history.history_features(make_obs(known + unknown))
+    )
 
 
 def test_no_example_sees_its_own_or_later_rows(make_obs):

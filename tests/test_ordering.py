@@ -9,15 +9,6 @@ from sitewatch.operators.ordering import global_position, running_totals
 from sitewatch.operators.quantiles import exact_quantiles
 
 
-@pytest.fixture
-def many_partitions(spark):
-    """Small tables sorted over several partitions, as large ones are."""
-    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
-
-
 @pytest.fixture
 def numbers(spark):
     # A third of the rows share one value.
@@ -41,16 +32,20 @@ def test_running_totals(numbers, many_partitions):
         before += r["w"]
 
 
-@pytest.mark.parametrize("one_task_rows", [10**6, 0])
-def test_quantiles_match_linear_interpolation(numbers, many_partitions, one_task_rows):
+def test_quantiles_match_linear_interpolation(numbers, many_partitions):
     probs = [0.0, 0.25, 0.5, 0.753, 1.0]
-    row = exact_quantiles(numbers, ["x", "id"], probs, one_task_rows).first()
+    row = exact_quantiles(numbers, ["x", "id"], probs).first()
     rows = numbers.collect()
     for c in ("x", "id"):
         wanted = np.quantile([r[c] for r in rows], probs)
         assert row[c] == pytest.approx(list(wanted), abs=1e-12)
 
 
+def test_quantiles_gather_no_values_in_one_task(numbers):
+    plan = exact_quantiles(numbers, ["x", "id"], [0.5])._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "percentile" not in plan
+
+
 def test_quantiles_skip_nulls(spark):
     df = spark.createDataFrame([(None,), (1.0,), (2.0,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]).first()["x"] == [1.5]
