@@ -169,10 +169,15 @@ oracle("out_value_counts", "feat", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {c}::VARCHAR AS value, COUNT(*) AS n FROM feat GROUP BY {c}"
     for c in ("operator", "network_type", "outage_reason", "outage_severity", "reliability_status",
               "high_risk_flag", "observation_month", "day_of_week")))
+# Every bin with the rows in it: equal widths, or one bin for each whole number.
+_WIDE = """SELECT '{c}' AS measure, k::INT AS bin, (SELECT COUNT(*) FROM obs
+    WHERE least(floor(({c}::DOUBLE - lo) / ((hi - lo) / 30)), 29) = k) AS n
+  FROM (SELECT MIN({c}::DOUBLE) AS lo, MAX({c}::DOUBLE) AS hi FROM obs), range(0, 30) t(k)"""
+_WHOLE = """SELECT '{c}' AS measure, (v - (SELECT MIN({c}) FROM obs))::INT AS bin,
+    (SELECT COUNT(*) FROM obs WHERE {c} = v) AS n
+  FROM (SELECT unnest(range((SELECT MIN({c}) FROM obs), (SELECT MAX({c}) FROM obs) + 1)) AS v)"""
 oracle("out_histograms", "obs", " UNION ALL ".join(
-    f"""SELECT '{c}' AS measure, CAST(least(floor((x - lo) / ((hi - lo) / {b})), {b - 1}) AS INT) AS bin,
-    COUNT(*) AS n FROM (SELECT {c}::DOUBLE AS x, MIN({c}::DOUBLE) OVER () AS lo, MAX({c}::DOUBLE) OVER () AS hi
-    FROM obs) GROUP BY bin""" for c, b in zip(MEASURES, (30, 30, 6, 30))))
+    (_WHOLE if c == "outage_count" else _WIDE).format(c=c) for c in MEASURES))
 oracle("out_boxplot", "obs", " UNION ALL ".join(
     f"""SELECT '{c}' AS measure, round(MIN(x) FILTER (ok), 6) AS whisker_low, round(any_value(q[1]), 6) AS q1,
     round(any_value(q[2]), 6) AS median, round(any_value(q[3]), 6) AS q3,

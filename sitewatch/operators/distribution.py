@@ -8,31 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewatch.functions.numeric import mean, pearson
+from sitewatch.operators.quantiles import exact_quantiles
 
 
-def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
-    """Exact interpolated percentiles, one output column per entry, in one pass.
+def _typed(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    return df.select(*[c.cast("double").alias(name) for name, c in measures.items()])
 
-    The aggregate keeps one counter per distinct value. Use it for measures with a bounded
-    domain (two decimals between 0 and 100, counts); for values as numerous as the rows, use
-    ``quantiles.exact_quantiles``.
-    """
-    return df.agg(
-        *[
-            F.percentile(value.cast("double"), F.lit(p)).alias(name)
-            for name, (value, p) in wanted.items()
-        ]
+
+def percentiles(
+    df: DataFrame, measures: dict[str, Column], wanted: dict[str, tuple[str, float]]
+) -> DataFrame:
+    """One row of exact interpolated percentiles; ``wanted`` maps output to (measure, fraction)."""
+    fractions = sorted({p for _, p in wanted.values()})
+    found = exact_quantiles(_typed(df, measures), list(measures), fractions)
+    return found.select(
+        *[F.col(m)[fractions.index(p)].alias(name) for name, (m, p) in wanted.items()]
     )
 
 
 def iqr_fences(df: DataFrame, measures: dict[str, Column], k: float = 1.5) -> DataFrame:
     """One row with ``q1_, q3_, iqr_, lower_fence_, upper_fence_`` of every measure."""
-    quartiles = df.agg(
-        *[
-            F.percentile(value.cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(name)
-            for name, value in measures.items()
-        ]
-    )
+    quartiles = exact_quantiles(_typed(df, measures), list(measures), [0.25, 0.75])
     columns = []
     for name in measures:
         q1, q3 = F.col(name)[0], F.col(name)[1]
@@ -65,13 +61,9 @@ def iqr_outliers(df: DataFrame, measures: dict[str, Column], k: float = 1.5) ->
 
 def boxplot(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame:
     """Per measure: quartiles, the most extreme values inside the fences, outlier count."""
-    typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    summary = typed.agg(
-        *[
-            F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}")
-            for c in columns
-        ]
-    )
+    typed = _typed(df, {c: F.col(c) for c in columns})
+    quartiles = exact_quantiles(typed, columns, [0.25, 0.5, 0.75])
+    summary = quartiles.select(*[F.col(c).alias(f"_q_{c}") for c in columns])
     inside = {}
     for c in columns:
         q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[2]
@@ -108,11 +100,13 @@ def bucket_counts(
     )
 
 
-def histograms(df: DataFrame, bins: dict[str, int]) -> DataFrame:
-    """Equal-width bins between each measure's own minimum and maximum, last bin closed.
+def histograms(df: DataFrame, bins: dict[str, int | None]) -> DataFrame:
+    """Every bin of every measure, empty ones too.
 
-    All measures share one scan for the ranges and one for the counts; rows are counted
-    before the shuffle, so at most one row per bin travels. Empty bins are not listed.
+    ``bins`` gives the number of equal-width bins between the measure's own minimum and maximum,
+    the last one closed, or None for whole numbers: one bin for each from minimum to maximum.
+    All measures share one scan for the ranges and one for the counts; rows are counted before
+    the shuffle, so at most one row per bin travels.
     """
     columns = list(bins)
     typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -122,15 +116,37 @@ def histograms(df: DataFrame, bins: dict[str, int]) -> DataFrame:
     numbered = typed.crossJoin(F.broadcast(ranges)).select(
         *[_bin(F.col(c), F.col(f"_r_{c}"), n).alias(c) for c, n in bins.items()]
     )
-    return (
+    counts = (
         numbered.unpivot([], columns, "measure", "bin")
         .where(F.col("bin").isNotNull())
         .groupBy("measure", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("found"))
     )
+    every = ranges.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("measure"), _last_bin(F.col(f"_r_{c}"), n).alias("last"))
+                    for c, n in bins.items()
+                ]
+            )
+        )
+    ).select("measure", F.explode(F.sequence(F.lit(0), "last")).alias("bin"))
+    return every.join(counts, ["measure", "bin"], "left").select(
+        "measure", "bin", F.coalesce("found", F.lit(0)).cast("bigint").alias("n")
+    )
+
+
+def _last_bin(limits: Column, bins: int | None) -> Column:
+    """Number of the last bin; NULL, so no bins, for a measure without values."""
+    if bins is None:
+        return (F.floor(limits["hi"]) - F.floor(limits["lo"])).cast("int")
+    return F.when(limits["lo"].isNotNull(), F.lit(bins - 1))
 
 
-def _bin(value: Column, limits: Column, bins: int) -> Column:
+def _bin(value: Column, limits: Column, bins: int | None) -> Column:
+    if bins is None:
+        return (F.floor(value) - F.floor(limits["lo"])).cast("int")
     width = (limits["hi"] - limits["lo"]) / bins
     index = F.floor(F.try_divide(value - limits["lo"], width))
     # A measure without spread has all its rows in the first bin.
@@ -153,7 +169,6 @@ def value_tail(
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles, maximum: one row per measure."""
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     one_row = df.agg(
         *[
             F.struct(
@@ -161,16 +176,18 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 mean(c).alias("mean"),
                 F.stddev_samp(F.col(c).cast("double")).alias("std"),
                 F.min(c).cast("double").alias("min"),
-                F.percentile(F.col(c).cast("double"), probs).alias("q"),
                 F.max(c).cast("double").alias("max"),
             ).alias(c)
             for c in columns
         ]
     )
-    return one_row.unpivot([], list(columns), "measure", "s").select(
+    quartiles = exact_quantiles(df.select(*columns), columns, [0.25, 0.5, 0.75])
+    figures = one_row.unpivot([], list(columns), "measure", "s")
+    places = quartiles.unpivot([], list(columns), "measure", "q")
+    # One row per measure on both sides.
+    return figures.join(F.broadcast(places), "measure").select(
         "measure", "s.count", "s.mean", "s.std", "s.min",
-        F.col("s.q")[0].alias("p25"), F.col("s.q")[1].alias("p50"), F.col("s.q")[2].alias("p75"),
-        "s.max",
+        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "s.max",
     )
 
 

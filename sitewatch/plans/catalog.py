@@ -353,13 +353,12 @@ def val_corr_pairs(spark, folder):
 
 @query("val_percentiles")
 def val_percentiles(spark, folder):
-    v = _numbers()
     wanted = {
-        "p01_uptime": (v["uptime"], 0.01), "p99_uptime": (v["uptime"], 0.99),
-        "p01_downtime": (v["downtime"], 0.01), "p99_downtime": (v["downtime"], 0.99),
-        "p99_users": (v["users"], 0.99),
+        "p01_uptime": ("uptime", 0.01), "p99_uptime": ("uptime", 0.99),
+        "p01_downtime": ("downtime", 0.01), "p99_downtime": ("downtime", 0.99),
+        "p99_users": ("users", 0.99),
     }
-    return rounded(distribution.percentiles(raw(spark, folder), wanted), 6, *wanted)
+    return rounded(distribution.percentiles(raw(spark, folder), _numbers(), wanted), 6, *wanted)
 
 
 on("val_clean_ranges", cleaned, lambda df: profile.value_range(
@@ -406,7 +405,7 @@ on("out_value_counts", feat, lambda df: profile.value_counts(
 on("out_histograms", obs, lambda df: distribution.histograms(
     df,
     {"uptime_percentage": 30, "downtime_minutes": 30, "avg_users_affected": 30,
-     "outage_count": 6}))
+     "outage_count": None}))
 on("out_boxplot", obs, lambda df: rounded(
     distribution.boxplot(df, TOWERS.measures), 6,
     "whisker_low", "q1", "median", "q3", "whisker_high"))

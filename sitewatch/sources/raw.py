@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sitewatch.operators.ordering import running_totals
+from sitewatch.sources.scratch import frozen
+
 # Columns of a raw observation file, in file order.
 RAW_COLUMNS = (
     "tower_id", "obs_date", "operator", "city", "state", "uptime_percentage",
@@ -64,31 +67,37 @@ def read_csv(
 def with_load_order(raw: DataFrame, name: str = "row_id", start: int = 1) -> DataFrame:
     """Contiguous numbering of file rows in load order: files by path, rows by position.
 
-    Each input block numbers its rows by itself; one small row per block holds how many
-    rows the blocks before it have. The rows themselves are not shuffled: the broadcast table
-    has one row per input block, as many as the driver lists to plan the scan (under a million
-    for 100 TB in blocks of 128 MB).
+    The rows are read once, tagged with their file block and written, so rows and offsets come
+    from the same reading however often the job is split anew. Blocks get their offsets by
+    running totals over all tasks; a row whose block had none would fail the query.
     """
-    tagged = raw.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mark"),
+    tagged = frozen(
+        raw.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_mark"),
+        )
     )
     blocks = tagged.groupBy("_file", "_block").agg(
         F.min("_mark").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        "_file", "_block", "_first",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-    )
-    position = F.col("_before") + F.col("_mark") - F.col("_first") + F.lit(start)
-    return tagged.join(F.broadcast(starts), ["_file", "_block"]).select(
+    starts = running_totals(blocks, [F.col("_file"), F.col("_block")], ["_rows"])
+    before = F.coalesce("_rows_before", F.raise_error(F.lit("a block of rows has no offset")))
+    position = before + F.col("_mark") - F.col("_first") + F.lit(start)
+    return tagged.join(starts, ["_file", "_block"], "left").select(
         position.cast("bigint").alias(name), *raw.columns
     )
 
 
 def load_features(spark: SparkSession, path: str, schema: str = FEATURE_EXPORT_SCHEMA) -> DataFrame:
     """An exported table read back with declared types; only empty fields are NULL."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("nullValue", "")
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
