@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewatch.functions.bands import PROBABILITY_LEVELS, RISK_LEVELS
+from sitewatch.operators.ordering import global_position
 from sitewatch.roles import TOWERS, Roles
 from sitewatch.sources.scratch import frozen
 
 NO_REASON = "None"
+# Entries of a dimension, and label combinations, that the document lists at most. The tables
+# beside it have all of them.
+LISTED = 10_000
+
+# A dictionary table for each dimension: code and value.
+Dictionary = Mapping[str, DataFrame]
 
 
 def _dimensions(roles: Roles) -> dict[str, Column]:
@@ -39,20 +47,24 @@ def legends(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     none = df.sparkSession.range(1).select(F.lit("reasons"), F.lit(NO_REASON))
     values = found.where(F.col("value").isNotNull()).distinct().union(none).distinct()
     first = (F.col("dimension") == "reasons") & (F.col("value") == NO_REASON)
-    by_value = Window.partitionBy("dimension").orderBy((~first).cast("int"), "value")
-    return values.select(
-        "dimension", (F.row_number().over(by_value) - 1).alias("code"), "value"
+    # Numbered over all tasks: a dimension may have any number of values.
+    order = [F.col("dimension"), (~first).cast("int"), F.col("value")]
+    placed = global_position(values, order, "_place")
+    starts = placed.groupBy("dimension").agg(F.min("_place").alias("_start"))
+    return placed.join(F.broadcast(starts), "dimension").select(  # one row per dimension
+        "dimension", (F.col("_place") - F.col("_start")).cast("int").alias("code"), "value"
     )
 
 
-def encode(df: DataFrame, dictionary: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFrame:
+def encode(df: DataFrame, dictionary: Dictionary, columns: dict[str, tuple[str, Column]]) -> DataFrame:
     """Adds code columns: ``columns`` maps output name to (dimension, value).
 
-    Pass a materialised dictionary: the size of its table is known, so Spark broadcasts it
-    exactly when it is small enough. A value without entry gets NULL, no row is lost.
+    Every dimension is a written table of its own, whose size is known, so Spark broadcasts it
+    exactly when it is small enough, whatever the size of the others. A value without entry gets
+    NULL, no row is lost.
     """
     for name, (dimension, value) in columns.items():
-        entries = dictionary.where(F.col("dimension") == dimension).select(
+        entries = dictionary[dimension].select(
             F.col("code").alias(name), F.col("value").alias(f"_{name}")
         )
         df = df.join(entries, value == F.col(f"_{name}"), "left").drop(f"_{name}")
@@ -64,7 +76,7 @@ def fixed_point(value: Column, digits: int) -> Column:
     return (F.bround(value, digits) * 10**digits).cast("int")
 
 
-def observation_cube(df: DataFrame, dictionary: DataFrame, roles: Roles = TOWERS) -> DataFrame:
+def observation_cube(df: DataFrame, dictionary: Dictionary, roles: Roles = TOWERS) -> DataFrame:
     """Every observation as small integers; stays distributed."""
     d = _dimensions(roles)
     codes = {
@@ -95,7 +107,7 @@ def leaderboard(summary: DataFrame, n: int = 400, roles: Roles = TOWERS) -> Data
     return worst.unionByName(repeat).dropDuplicates([roles.entity])
 
 
-def tower_table(board: DataFrame, dictionary: DataFrame, roles: Roles = TOWERS) -> DataFrame:
+def tower_table(board: DataFrame, dictionary: Dictionary, roles: Roles = TOWERS) -> DataFrame:
     """Leaderboard rows with dictionary codes and whole numbers."""
     operator, state, network = (F.col(f"mode_{c}") for c in roles.labels)
     coded = encode(
@@ -123,7 +135,7 @@ def tower_stats(summary: DataFrame) -> DataFrame:
     )
 
 
-def watch_top(watch: DataFrame, dictionary: DataFrame, n: int = 500) -> DataFrame:
+def watch_top(watch: DataFrame, dictionary: Dictionary, n: int = 500) -> DataFrame:
     """The first ``n`` watchlist rows with dictionary codes."""
     top = watch.orderBy("recommended_priority").limit(n)
     coded = encode(
@@ -162,10 +174,11 @@ def _short(category: str) -> str:
 
 
 def crosstab(
-    watch: DataFrame, summary: DataFrame, dictionary: DataFrame, roles: Roles = TOWERS
+    watch: DataFrame, summary: DataFrame, dictionary: Dictionary, roles: Roles = TOWERS
 ) -> DataFrame:
     """Operator x network x state over all entities: categories, bands, probability sum."""
-    rows = watch.join(summary.select(roles.entity, "repeat_outage_indicator"), roles.entity)
+    flags = summary.select(F.col(roles.entity).alias("tower_id"), "repeat_outage_indicator")
+    rows = watch.join(flags, "tower_id")
     category, band = F.col("risk_category_final"), F.col("predicted_risk_category")
     short = ("low", "med", "high", "crit")
     groups = rows.groupBy("operator", "network_type", "state").agg(
@@ -197,7 +210,7 @@ def columnar(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
 
 
 def document(
-    dictionary: DataFrame,
+    dictionary: Dictionary,
     board: DataFrame,
     stats: DataFrame,
     top: DataFrame,
@@ -208,24 +221,44 @@ def document(
 ) -> DataFrame:
     """One row with everything a dashboard loads at once.
 
-    Only the dictionaries, capped tables and label combinations are gathered. The observation
-    cube is as long as the data and is written as its own table.
+    Only capped tables are gathered: of dictionaries the first ``LISTED`` entries, of label
+    combinations the ``LISTED`` largest. Dictionaries, crosstab and the observation cube are
+    written whole as tables of their own.
     """
-    by_dimension = dictionary.groupBy("dimension").agg(
-        F.sort_array(F.collect_list(F.struct("code", "value"))).alias("entries")
+    entries = [
+        table.where(F.col("code") < LISTED).select(F.lit(name).alias("dimension"), "code", "value")
+        for name, table in dictionary.items()
+    ]
+    by_dimension = (
+        reduce(DataFrame.unionByName, entries)
+        .groupBy("dimension")
+        .agg(F.sort_array(F.collect_list(F.struct("code", "value"))).alias("entries"))
     )
     legend = by_dimension.agg(
         F.map_from_entries(
             F.collect_list(F.struct("dimension", F.transform("entries", lambda e: e["value"])))
         ).alias("legends")
     )
-    figures = [c for c in model_metrics.columns if c != "model"]
+    cells = ("tn", "fp", "fn", "tp")
+    figures = [
+        *[F.col(c) for c in model_metrics.columns if c not in ("model", *cells)],
+        F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"),
+    ]
+    categories = {c: _short(c) for c in RISK_LEVELS}
+    per_category = F.map_from_entries(
+        F.array(*[F.struct(F.lit(c), F.col(short)) for c, short in categories.items()])
+    )
+    totals = [c for c in top_stats.columns if c not in categories.values()]
     parts = [
         columnar(board, "tw", ["up", "id"]),
         stats.select(F.struct(*stats.columns).alias("tw_stats")),
         columnar(top, "wl", ["pri"]),
-        top_stats.select(F.struct(*top_stats.columns).alias("wl_stats")),
-        columnar(cross, "crosstab", ["op", "nt", "st"]),
+        top_stats.select(
+            F.struct(*totals, per_category.alias("risk_category_counts")).alias("wl_stats")
+        ),
+        columnar(
+            cross.orderBy(F.desc("n"), "op", "nt", "st").limit(LISTED), "crosstab", ["op", "nt", "st"]
+        ),
         importances.agg(
             F.collect_list(F.struct("feature", "importance")).alias("feat_importance")
         ),
@@ -241,6 +274,10 @@ def document(
     return result
 
 
-def materialised_legends(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
-    """The dictionary written once; every encoding then reads the few entries only."""
-    return frozen(legends(df, roles))
+def materialised_legends(df: DataFrame, roles: Roles = TOWERS) -> Dictionary:
+    """Every dimension's dictionary written once; an encoding then reads its entries only."""
+    found = frozen(legends(df, roles))
+    return {
+        name: frozen(found.where(F.col("dimension") == name).select("code", "value"))
+        for name in _dimensions(roles)
+    }

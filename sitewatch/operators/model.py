@@ -5,7 +5,9 @@ Pass a materialised training table: every estimator reads it several times.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -15,7 +17,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.operators.evaluate import confusion, roc_auc, threshold_metrics
@@ -194,15 +196,20 @@ def feature_names(model: PipelineModel, rows: DataFrame) -> list[str]:
     return [a["name"] for a in sorted(attributes, key=lambda a: a["idx"])]
 
 
-def importance(model: PipelineModel, rows: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` most important features of a tree model, rounded to four decimals."""
+def importances(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """The importance of every feature of a tree model."""
     weights = model.stages[-1].featureImportances.toArray().tolist()
     names = feature_names(model, rows)
-    table = rows.sparkSession.createDataFrame(
+    return rows.sparkSession.createDataFrame(
         list(zip(names, weights)), "feature string, importance double"
     )
+
+
+def importance(model: PipelineModel, rows: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` most important features of a tree model, rounded to four decimals."""
     return (
-        table.orderBy(F.desc("importance"), "feature")
+        importances(model, rows)
+        .orderBy(F.desc("importance"), "feature")
         .limit(n)
         .select("feature", F.round("importance", 4).alias("importance"))
     )
@@ -214,3 +221,26 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def slug(name: str) -> str:
+    return name.lower().replace(" ", "_")
+
+
+def save_bundle(models: dict[str, PipelineModel], test: DataFrame, path: str) -> None:
+    """All fitted models below ``path``, their metrics, and the test rows scored by each."""
+    metrics, scored = [], []
+    for name, fitted in models.items():
+        save(fitted, f"{path}/models/{slug(name)}")
+        metrics.append(evaluate(fitted, test, name))
+        scored.append(predict(fitted, test).select(F.lit(name).alias("model"), *test.columns, PROBABILITY))
+    reduce(DataFrame.unionByName, metrics).write.mode("overwrite").parquet(f"{path}/metrics")
+    reduce(DataFrame.unionByName, scored).write.mode("overwrite").parquet(f"{path}/scored")
+
+
+def load_bundle(
+    spark: SparkSession, path: str, names: Iterable[str] = tuple(FITTERS)
+) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
+    """Models, metrics and scored test rows of a saved bundle."""
+    models = {name: load(f"{path}/models/{slug(name)}") for name in names}
+    return models, spark.read.parquet(f"{path}/metrics"), spark.read.parquet(f"{path}/scored")

@@ -59,18 +59,34 @@ def add_priority(
     return global_position(df, order, "recommended_priority")
 
 
-def output(df: DataFrame) -> DataFrame:
-    """Watchlist columns under their output names; a list without ranks leaves them out."""
-    return df.select(
-        *[F.col(source).alias(name) for name, source in OUTPUT.items() if source in df.columns]
-    )
+def output_columns(roles: Roles = TOWERS) -> dict[str, str]:
+    """Output name to source column: the output names stay, whatever the entity is called."""
+    operator, state, network = (f"hist_mode_{c}" for c in roles.labels)
+    own = {"tower_id": roles.entity, "operator": operator, "state": state, "network_type": network}
+    return OUTPUT | own
+
+
+def output(df: DataFrame, roles: Roles = TOWERS, ranked: bool = True) -> DataFrame:
+    """Watchlist columns under their output names; ``ranked=False`` leaves the priority out.
+
+    Fails if ``df`` has not all of them.
+    """
+    wanted = {
+        name: source
+        for name, source in output_columns(roles).items()
+        if ranked or name != "recommended_priority"
+    }
+    missing = [c for c in wanted.values() if c not in df.columns]
+    if missing:
+        raise ValueError(f"the watchlist lacks the columns {missing}")
+    return df.select(*[F.col(source).alias(name) for name, source in wanted.items()])
 
 
 def validate(watch: DataFrame, rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     """Does the list have every entity of ``rows`` exactly once?"""
     listed = watch.agg(
         F.count(F.lit(1)).alias("listed_rows"),
-        F.count_distinct(roles.entity).alias("listed_towers"),
+        F.count_distinct("tower_id").alias("listed_towers"),
     )
     expected = rows.agg(F.count_distinct(roles.entity).alias("towers"))
     return listed.crossJoin(F.broadcast(expected)).select(

@@ -36,33 +36,31 @@ def build_models(
     write_parquet(split, f"{folder}/split")
     train = spark.read.parquet(f"{folder}/split").where("NOT is_test")
     test = spark.read.parquet(f"{folder}/split").where("is_test")
-    metrics = None
-    for name, fitted in model.fit_models(train, config).items():
-        model.save(fitted, f"{folder}/models/{_slug(name)}")
-        row = model.evaluate(fitted, test, name)
-        metrics = row if metrics is None else metrics.unionByName(row)
-    write_parquet(metrics, f"{folder}/model_metrics")
+    model.save_bundle(model.fit_models(train, config), test, f"{folder}/bundle")
 
 
 def build_outputs(folder: str, spark: SparkSession, roles: Roles = TOWERS) -> None:
     """Watchlist, observation cube, dashboard document and CSV exports."""
     rows = spark.read.parquet(f"{folder}/features")
     summary = spark.read.parquet(f"{folder}/summary")
-    logistic = model.load(f"{folder}/models/{_slug('Logistic Regression')}")
-    forest = model.load(f"{folder}/models/{_slug('Random Forest')}")
+    models, metrics, _ = model.load_bundle(spark, f"{folder}/bundle")
+    logistic, forest = models["Logistic Regression"], models["Random Forest"]
     write_parquet(stages.watch_table(logistic, rows, roles), f"{folder}/watchlist")
     watch = spark.read.parquet(f"{folder}/watchlist")
     dictionary = dashboard.materialised_legends(rows, roles)
+    for name, table in dictionary.items():
+        write_parquet(table, f"{folder}/legends/{name}")
     write_parquet(dashboard.observation_cube(rows, dictionary, roles), f"{folder}/cube")
+    write_parquet(dashboard.crosstab(watch, summary, dictionary, roles), f"{folder}/crosstab")
     document = dashboard.document(
         dictionary,
         dashboard.tower_table(dashboard.leaderboard(summary, roles=roles), dictionary, roles),
         dashboard.tower_stats(summary),
         dashboard.watch_top(watch, dictionary),
         dashboard.watch_stats(watch),
-        dashboard.crosstab(watch, summary, dictionary, roles),
+        spark.read.parquet(f"{folder}/crosstab"),
         model.importance(forest, spark.read.parquet(f"{folder}/examples")),
-        spark.read.parquet(f"{folder}/model_metrics"),
+        metrics,
     )
     write_json_document(document, f"{folder}/dashboard")
     write_csv(spark.read.parquet(f"{folder}/clean"), f"{folder}/csv/clean")
@@ -90,7 +88,3 @@ def run(
     return watchlist.validate(
         spark.read.parquet(f"{folder}/watchlist"), spark.read.parquet(f"{folder}/clean"), roles
     )
-
-
-def _slug(name: str) -> str:
-    return name.lower().replace(" ", "_")

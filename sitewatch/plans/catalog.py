@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from sitewatch.functions import text
+from sitewatch.functions import bands, text
 from sitewatch.operators import (
     clean,
     dashboard,
@@ -84,6 +84,13 @@ def cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return clean.clean(raw(spark, folder), strict=False)
 
 
+def obs_and_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations, and cleaned rows that name no entity: these must change no result."""
+    rows = obs(spark, folder)
+    unknown = cleaned(spark, folder).where(F.col("tower_id").isNull())
+    return rows.unionByName(unknown.select(*rows.columns))
+
+
 def feat(spark: SparkSession, folder: str) -> DataFrame:
     return features.features(obs(spark, folder))
 
@@ -127,7 +134,7 @@ def stand_in_watchlist(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stand_in_unranked(spark: SparkSession, folder: str) -> DataFrame:
-    return watchlist.output(stand_in_merged(spark, folder))
+    return watchlist.output(stand_in_merged(spark, folder), ranked=False)
 
 
 def history_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +145,7 @@ def split_examples(spark: SparkSession, folder: str) -> DataFrame:
     return stages.examples(obs(spark, folder))
 
 
-def dictionary(spark: SparkSession, folder: str) -> DataFrame:
+def dictionary(spark: SparkSession, folder: str) -> dashboard.Dictionary:
     return dashboard.materialised_legends(obs(spark, folder))
 
 
@@ -303,27 +310,26 @@ def _numbers() -> dict:
     }
 
 
-def _rule(name: str, predicate) -> None:
+def _rule(name: str, output: str, predicate) -> None:
     """Register a count of raw rows breaking a rule; ``predicate`` gets the numeric columns."""
-    query_name, output = name.split(":")
-    on(query_name, raw, lambda df: quality.count_flags(df, {output: predicate(_numbers())}))
+    on(name, raw, lambda df: quality.count_flags(df, {output: predicate(_numbers())}))
 
 
-_rule("val_uptime_range:uptime_out_of_range", lambda v: (v["uptime"] < 0) | (v["uptime"] > 100))
-_rule("val_downtime_neg:downtime_negative", lambda v: v["downtime"] < 0)
-_rule("val_outages_neg:outage_count_negative", lambda v: v["outage_count"] < 0)
-_rule("val_users_neg:users_affected_negative", lambda v: v["users"] < 0)
-_rule("val_zero_outage_downtime:zero_outages_but_downtime",
+_rule("val_uptime_range", "uptime_out_of_range", lambda v: (v["uptime"] < 0) | (v["uptime"] > 100))
+_rule("val_downtime_neg", "downtime_negative", lambda v: v["downtime"] < 0)
+_rule("val_outages_neg", "outage_count_negative", lambda v: v["outage_count"] < 0)
+_rule("val_users_neg", "users_affected_negative", lambda v: v["users"] < 0)
+_rule("val_zero_outage_downtime", "zero_outages_but_downtime",
       lambda v: (v["outage_count"] == 0) & (v["downtime"] > 0))
-_rule("val_outage_zero_downtime:outages_but_zero_downtime",
+_rule("val_outage_zero_downtime", "outages_but_zero_downtime",
       lambda v: (v["outage_count"] > 0) & (v["downtime"] == 0))
-_rule("val_zero_outage_users:zero_outages_but_users_affected",
+_rule("val_zero_outage_users", "zero_outages_but_users_affected",
       lambda v: (v["outage_count"] == 0) & (v["users"] > 0))
-_rule("val_outage_zero_users:outages_but_zero_users_affected",
+_rule("val_outage_zero_users", "outages_but_zero_users_affected",
       lambda v: (v["outage_count"] > 0) & (v["users"] == 0))
-_rule("val_reason_zero_outage:reason_present_but_zero_outage_count",
+_rule("val_reason_zero_outage", "reason_present_but_zero_outage_count",
       lambda v: has_reason() & (v["outage_count"] == 0))
-_rule("val_null_reason_outage:null_reason_but_outage_occurred",
+_rule("val_null_reason_outage", "null_reason_but_outage_occurred",
       lambda v: ~has_reason() & (v["outage_count"] > 0))
 
 
@@ -473,12 +479,15 @@ on("risk_backjoin_nulls", with_risk, lambda df: quality.null_counts(
 
 @query("recon_layers")
 def recon_layers(spark, folder):
-    rows = cleaned(spark, folder)
+    # Every layer is written, made from the one before, and counted as it was written.
+    first = scratch.frozen(raw(spark, folder))
+    rows = scratch.frozen(clean.clean(first, strict=False))
+    with_features = scratch.frozen(features.features(rows))
     layers = [
-        profile.row_count(raw(spark, folder), "raw_rows"),
+        profile.row_count(first, "raw_rows"),
         profile.row_count(rows, "clean_rows"),
-        profile.row_count(features.features(rows), "feature_rows"),
-        profile.row_count(entity.entity_summary(rows), "tower_summary_rows"),
+        profile.row_count(with_features, "feature_rows"),
+        profile.row_count(scratch.frozen(entity.entity_summary(rows)), "tower_summary_rows"),
         profile.distinct_count(rows, "tower_id", "distinct_towers"),
     ]
     one_row = layers[0]
@@ -658,16 +667,20 @@ on("pd_monthly", obs, lambda df: rollup.breakdown(
 
 @query("pd_crosscheck")
 def pd_crosscheck(spark, folder):
+    # The figures of the source are what the exported file, read back, must add up to.
     expected = rollup.overview(feat(spark, folder)).select(
         "avg_uptime_pct", F.col("total_downtime_minutes").alias("total_downtime"),
         "total_outages", "total_users_affected")
-    return rollup.headline_check(obs(spark, folder), expected)
+    path = scratch.scratch_path(spark, "checked-csv")
+    export.write_csv(feat(spark, folder).select(*features.EXPORT_COLUMNS), path)
+    return rollup.headline_check(raw_source.load_features(spark, path), expected)
 
 
 @query("pd_validate")
 def pd_validate(spark, folder):
     rows = obs(spark, folder)
-    found = profile.row_count(summary(spark, folder), "summary_rows")
+    written = scratch.frozen(summary(spark, folder))
+    found = profile.row_count(written, "summary_rows")
     wanted = rows.agg(
         F.count(F.lit(1)).alias("feature_rows"), F.count_distinct("tower_id").alias("towers"))
     return found.crossJoin(F.broadcast(wanted)).withColumn(
@@ -679,7 +692,7 @@ def pd_validate(spark, folder):
 MEANS = ("hist_avg_uptime", "hist_avg_downtime", "hist_avg_outage_count",
          "hist_avg_users_affected", "hist_pct_impactful")
 
-on("ml_obs_counts", obs, history.observation_counts)
+on("ml_obs_counts", obs_and_unknown, history.observation_counts)
 on("ml_history", history_rows, lambda df: rounded(
     df.select("row_id", "tower_id", *history.NUMERIC_FEATURES), 9, *MEANS))
 on("ml_history_mode", history_rows, lambda df: df.select(
@@ -740,7 +753,8 @@ def _fitted(name: str, fit, config: model.ModelConfig = model.DEFAULTS) -> None:
     def run(spark, folder):
         train, test = stages.train_and_test(obs(spark, folder))
         return model.predict(fit(train, config), test).select(
-            "row_id", F.col(model.LABEL).alias("label"), model.PROBABILITY)
+            "row_id", F.col(model.LABEL).alias("label"),
+            F.col(model.PROBABILITY).between(0, 1).alias("is_probability"))
 
     query(name)(run)
 
@@ -753,15 +767,26 @@ _fitted("ml_gbt", model.fit_boosting)
 @query("ml_importance")
 def ml_importance(spark, folder):
     train, _ = stages.train_and_test(obs(spark, folder))
-    return model.importance(model.fit_forest(train), train)
+    weights = model.importances(model.fit_forest(train), train)
+    total = weights.agg(F.round(F.sum("importance"), 6).alias("total"))  # one row
+    return weights.crossJoin(F.broadcast(total)).select(
+        "feature", (F.col("importance") >= 0).alias("not_negative"), "total")
 
 
 @query("ml_persist")
 def ml_persist(spark, folder):
     train, test = stages.train_and_test(obs(spark, folder))
-    path = scratch.scratch_path(spark, "model")
-    model.save(model.fit_logistic(train), path)
-    return model.predict(model.load(path), test).select("row_id", model.PROBABILITY)
+    path = scratch.scratch_path(spark, "bundle")
+    model.save_bundle(model.fit_models(train), test, path)
+    models, _, scored = model.load_bundle(spark, path)
+    result = None
+    for name, fitted in models.items():
+        before = scored.where(F.col("model") == name).select(
+            "row_id", "model", F.col(model.PROBABILITY).alias("saved"))
+        again = model.predict(fitted, test).join(before, "row_id").select(
+            "model", "row_id", F.abs(F.col(model.PROBABILITY) - F.col("saved")).alias("difference"))
+        result = again if result is None else result.unionByName(again)
+    return result
 
 
 @query("dash_model_metrics")
@@ -771,49 +796,71 @@ def dash_model_metrics(spark, folder):
     for name, fitted in model.fit_models(train).items():
         row = model.evaluate(fitted, test, name)
         result = row if result is None else result.unionByName(row)
-    return result
+    cells = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    right = (F.col("tn") + F.col("tp")) / cells
+    return result.select(
+        "model", cells.alias("test_rows"), (F.col("fn") + F.col("tp")).alias("positives"),
+        (F.abs(F.col("accuracy") - right) < 1e-9).alias("accuracy_agrees"),
+        F.col("roc_auc").between(0, 1).alias("is_area"))
 
 
-on("score_rates", obs, lambda df: rounded(
+on("score_rates", obs_and_unknown, lambda df: rounded(
     score.entity_rates(df), 9, "avg_uptime_percentage", "avg_downtime_minutes",
     "avg_outage_count", "avg_users_affected", "pct_impactful"))
-on("score_minmax", obs, lambda df: rounded(
+on("score_minmax", obs_and_unknown, lambda df: rounded(
     stages.score_components(df).select("tower_id", *score.EQUAL_WEIGHTS), 6,
     *score.EQUAL_WEIGHTS))
-on("score_weighted", obs, lambda df: rounded(
+on("score_weighted", obs_and_unknown, lambda df: rounded(
     score.add_score(stages.score_components(df)).select(
         "tower_id", "site_reliability_risk_score"),
     6, "site_reliability_risk_score"))
-on("score_category", obs, lambda df: stages.score_table(df).select(
+on("score_category", obs_and_unknown, lambda df: stages.score_table(df).select(
     "tower_id", "risk_category_final"))
 
 
 @query("score_dist")
 def score_dist(spark, folder):
-    scored = score.add_score(stages.score_components(obs(spark, folder)))
+    scored = score.add_score(stages.score_components(obs_and_unknown(spark, folder)))
     counts = features.counts_by(score.add_category(scored), ["risk_category_final"])
     return rounded(
         counts.crossJoin(F.broadcast(score.score_quartiles(scored))), 6, "q1", "q2", "q3")
 
 
-on("score_bias", obs, lambda df: rounded(
+on("score_bias", obs_and_unknown, lambda df: rounded(
     score.bias_check(score.add_score(stages.score_components(df))), 6, "avg_score"))
 on("wl_full_history", obs, lambda df: rounded(history.full_history(df), 9, *MEANS))
 
 
+def _band_agrees():
+    p, band = F.col(watchlist.PROBABILITY), F.col("predicted_risk_category")
+    low, high = (
+        F.element_at(F.create_map(*[F.lit(x) for pair in zip(bands.PROBABILITY_LEVELS, limits) for x in pair]), band)
+        for limits in ((0.0, *bands.PROBABILITY_LIMITS), (*bands.PROBABILITY_LIMITS, 1.0))
+    )
+    return ((p >= low) & (p <= high)).alias("band_agrees")
+
+
 @query("wl_predict")
 def wl_predict(spark, folder):
     rows = obs(spark, folder)
     train, _ = stages.train_and_test(rows)
-    return stages.predictions(model.fit_logistic(train), rows).select(
-        "tower_id", watchlist.PROBABILITY, "predicted_risk_category")
+    return stages.predictions(model.fit_logistic(train), rows).select("tower_id", _band_agrees())
 
 
 @query("wl_output")
 def wl_output(spark, folder):
     rows = obs(spark, folder)
     train, _ = stages.train_and_test(rows)
-    return stages.watch_table(model.fit_logistic(train), rows)
+    listed = scratch.frozen(stages.watch_table(model.fit_logistic(train), rows))
+    same = listed.groupBy("recommended_priority").agg(F.count(F.lit(1)).alias("times"))
+    size = profile.row_count(listed, "size")
+    kept = [c for c in watchlist.OUTPUT if not c.startswith("predicted_")]
+    unique = (F.col("times") == 1) & F.col("recommended_priority").between(1, F.col("size"))
+    return rounded(
+        listed.join(same, "recommended_priority").crossJoin(F.broadcast(size)).select(
+            *[c for c in kept if c != "recommended_priority"], _band_agrees(),
+            unique.alias("is_place")),
+        6, "site_reliability_risk_score")
 
 
 on("wl_prob_band", scored_rows, lambda df: watchlist.add_band(df, "p").select(
@@ -879,12 +926,15 @@ def dash_crosstab(spark, folder):
 def sink_dashboard_json(spark, folder):
     rows = obs(spark, folder)
     train, test = stages.train_and_test(rows)
-    logistic, forest = model.fit_logistic(train), model.fit_forest(train)
+    models = model.fit_models(train)
+    logistic, forest = models["Logistic Regression"], models["Random Forest"]
     towers = scratch.frozen(summary(spark, folder))
     watch = scratch.frozen(stages.watch_table(logistic, rows))
     codes = dashboard.materialised_legends(rows)
-    metrics = model.evaluate(logistic, test, "Logistic Regression").unionByName(
-        model.evaluate(forest, test, "Random Forest"))
+    metrics = None
+    for name, fitted in models.items():
+        row = model.evaluate(fitted, test, name)
+        metrics = row if metrics is None else metrics.unionByName(row)
     document = dashboard.document(
         codes,
         dashboard.tower_table(dashboard.leaderboard(towers), codes),
@@ -897,7 +947,26 @@ def sink_dashboard_json(spark, folder):
     )
     path = scratch.scratch_path(spark, "dashboard")
     export.write_json_document(document, path)
-    return spark.read.text(path).select(F.col("value").alias("document"))
+    # The document read back, and what its parts add up to.
+    back = spark.read.json(path)
+    read = back.select("*", F.from_json(F.to_json("model_metrics"), (
+        "map<string, struct<confusion_matrix: array<array<bigint>>>>")).alias("by_model"))
+    return read.select(
+        *[F.size(f"legends.{d}").alias(f"n_{d}") for d in codes],
+        F.size("tw.id").alias("tower_rows"), F.size("wl.id").alias("watch_rows"),
+        F.col("tw_stats.total_towers").alias("towers"),
+        F.col("tw_stats.repeat_outage_towers").alias("repeat_towers"),
+        _total(F.map_values(F.from_json(
+            F.to_json("wl_stats.risk_category_counts"), "map<string, bigint>"))).alias("in_categories"),
+        _total(F.col("crosstab.n")).alias("in_crosstab"),
+        F.concat_ws(",", F.sort_array(F.map_keys("by_model"))).alias("models"),
+        _total(F.flatten(F.flatten(F.transform(
+            F.map_values("by_model"), lambda m: m["confusion_matrix"])))).alias("in_confusion"),
+        F.size("feat_importance").alias("features"))
+
+
+def _total(numbers):
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 # --- streaming ----------------------------------------------------------------------------------

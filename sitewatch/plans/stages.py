@@ -55,4 +55,4 @@ def predictions(fitted: PipelineModel, rows: DataFrame, roles: Roles = TOWERS) -
 def watch_table(fitted: PipelineModel, rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     """The ranked list of all entities."""
     merged = watchlist.merge(predictions(fitted, rows, roles), score_table(rows, roles), roles)
-    return watchlist.output(watchlist.add_priority(merged))
+    return watchlist.output(watchlist.add_priority(merged, entity=roles.entity), roles)

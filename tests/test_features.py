@@ -114,6 +114,12 @@ def test_histogram_matches_numpy(spark, folder):
     assert [got.get(i, 0) for i in range(30)] == counts.tolist()
 
 
+def test_histogram_of_whole_numbers_lists_empty_bins(make_obs):
+    df = make_obs([{"outage_count": n} for n in (0, 1, 1, 7, None)])
+    got = distribution.histograms(df, {"outage_count": None}).collect()
+    assert {r["bin"]: r["n"] for r in got} == {0: 1, 1: 2, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1}
+
+
 def test_histogram_of_constant_measure(make_obs):
     got = distribution.histograms(make_obs([{}, {}]), {"outage_count": None}).collect()
     assert [(r["bin"], r["n"]) for r in got] == [(0, 2)]

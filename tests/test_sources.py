@@ -24,6 +24,13 @@ def test_feature_file_reads_empty_text_as_null(spark, tmp_path):
     assert [r["v"] for r in rows] == [None, None, "None"]
 
 
+def test_quoted_text_comes_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b" c'), (2, ' "'), (3, "x,y")], "k int, v string")
+    export.write_csv(df, str(tmp_path / "q"))
+    back = load_features(spark, str(tmp_path / "q"), "k int, v string")
+    assert back.exceptAll(df).count() == 0 and back.count() == 3
+
+
 def test_load_order_over_files_and_blocks(spark, tmp_path):
     wanted = []
     for f in range(3):
@@ -107,7 +114,9 @@ def test_batch_run_end_to_end(spark, folder, tmp_path):
     rows = raw.count()
     for table in ("clean", "features", "cube"):
         assert spark.read.parquet(f"{out}/{table}").count() == rows
-    assert spark.read.parquet(f"{out}/model_metrics").count() == 3
+    assert spark.read.parquet(f"{out}/bundle/metrics").count() == 3
+    assert spark.read.parquet(f"{out}/crosstab").agg({"n": "sum"}).first()[0] == n
+    assert spark.read.parquet(f"{out}/legends/reasons").where("code = 0").first()["value"] == "None"
     document = spark.read.json(f"{out}/dashboard").first()
     assert document["tw_stats"]["total_towers"] == n
     assert document["wl"]["pri"] == list(range(1, min(n, 500) + 1))
@@ -117,5 +126,8 @@ def test_batch_run_end_to_end(spark, folder, tmp_path):
     assert set(document["model_metrics"].asDict()) == {
         "Logistic Regression", "Random Forest", "Gradient Boosting",
     }
+    for figures in document["model_metrics"].asDict().values():
+        assert [len(x) for x in figures["confusion_matrix"]] == [2, 2]
+    assert sum(document["wl_stats"]["risk_category_counts"].asDict().values()) == n
     exported = load_features(spark, f"{out}/csv/features")
     assert exported.count() == rows
