@@ -245,8 +245,8 @@ def document(
         F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"),
     ]
     categories = {c: _short(c) for c in RISK_LEVELS}
-    per_category = F.map_from_entries(
-        F.array(*[F.struct(F.lit(c), F.col(short)) for c, short in categories.items()])
+    per_category = F.create_map(
+        *[x for c, short in categories.items() for x in (F.lit(c), F.col(short))]
     )
     totals = [c for c in top_stats.columns if c not in categories.values()]
     parts = [
