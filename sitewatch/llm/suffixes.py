@@ -102,9 +102,9 @@ class Contexts:
                 np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))
             )
             place = at[first]
-            found.append(
-                (place + begin, np.diff(np.append(first, len(at))), anchor[first] - place, hashes[anchor[first]])
-            )
+            # An anchor's hash is the smallest of many: mixed again, it is spread evenly.
+            gram = _mixed(hashes[anchor[first]] + np.uint64(_POWER))
+            found.append((place + begin, np.diff(np.append(first, len(at))), anchor[first] - place, gram))
         if not found:
             found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
         self.place, self.strings, self.offset, self.gram = (np.concatenate(x) for x in zip(*found))
