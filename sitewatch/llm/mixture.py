@@ -108,7 +108,9 @@ def plan_source(counts: pd.DataFrame, ceiling: float) -> pd.DataFrame:
     passes, rest = divmod(budget, total) if total else (0, 0)
     base = n * rest // total if total else n * 0  # exact: integers
     left = rest - int((base * size).sum())
-    more = exact_subset(size.tolist(), (n - base).tolist(), left)
+    # A document may be picked once more than others, as long as it stays below the ceiling.
+    free = (int(ceiling) - passes) * n - base
+    more = exact_subset(size.tolist(), free.tolist(), left)
     return counts.assign(passes=passes, picks=base + np.array(more, np.int64))
 
 
@@ -165,9 +167,10 @@ def mix(
     same = F.col("placed.source").eqNullSafe(F.col("plan.source")) & (
         F.col("placed.size") == F.col("plan.size")
     )
-    picked = (F.col("place") - F.col("first") < F.col("picks")).cast("long")
+    # Picks beyond the number of documents go round once more.
+    picked = F.expr("picks div n + CASE WHEN place - first < picks % n THEN 1 ELSE 0 END")
     chosen = placed.alias("placed").join(plan.alias("plan"), same).select(
-        "_row", "source_size", "target", (F.col("passes") + picked).alias("copies")
+        "_row", "source_size", "target", (F.col("passes") + picked).cast("long").alias("copies")
     )
     return rows.join(chosen, "_row").select(*names, "source_size", "target", "copies")
 
