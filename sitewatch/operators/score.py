@@ -31,6 +31,19 @@ def entity_rates(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     )
 
 
+def rates_of(history: DataFrame, roles: Roles = TOWERS) -> DataFrame:
+    """The same averages out of ``history.full_history``, which has them under other names."""
+    return history.select(
+        roles.entity,
+        F.col("hist_avg_uptime").alias("avg_uptime_percentage"),
+        F.col("hist_avg_downtime").alias("avg_downtime_minutes"),
+        F.col("hist_avg_outage_count").alias("avg_outage_count"),
+        F.col("hist_avg_users_affected").alias("avg_users_affected"),
+        F.col("hist_pct_impactful").alias("pct_impactful"),
+        F.col("hist_num_observations").alias("total_observations"),
+    )
+
+
 def add_components(rates: DataFrame) -> DataFrame:
     """Four risk components scaled to 0..1 over all entities; NULL where nothing varies.
 

@@ -10,6 +10,7 @@ from sitewatch.plans import stages
 from sitewatch.roles import TOWERS, Roles
 from sitewatch.sources.export import write_csv, write_json_document, write_parquet
 from sitewatch.sources.raw import load_raw, with_load_order
+from sitewatch.sources.scratch import owned
 
 
 def build_tables(raw: DataFrame, folder: str, roles: Roles = TOWERS, strict: bool = True) -> None:
@@ -80,11 +81,13 @@ def run(
     """Everything from the raw CSV at ``raw_path``; returns the watchlist validation.
 
     Every stage writes its table below ``folder`` and the next one reads it, so a run can be
-    taken up again after any stage and no result depends on the memory of one machine.
+    taken up again after any stage and no result depends on the memory of one machine. Scratch
+    tables are dropped at the end.
     """
-    build_tables(with_load_order(load_raw(spark, raw_path)), folder, roles, strict)
-    build_models(folder, spark, config, roles)
-    build_outputs(folder, spark, roles)
+    with owned(spark):
+        build_tables(with_load_order(load_raw(spark, raw_path)), folder, roles, strict)
+        build_models(folder, spark, config, roles)
+        build_outputs(folder, spark, roles)
     return watchlist.validate(
         spark.read.parquet(f"{folder}/watchlist"), spark.read.parquet(f"{folder}/clean"), roles
     )

@@ -112,21 +112,18 @@ def scored_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def scored_towers(spark: SparkSession, folder: str) -> DataFrame:
+def scored_towers(towers: DataFrame) -> DataFrame:
     """The same stand-in per entity, on its full history."""
-    rows = obs(spark, folder)
-    last = rows.groupBy("tower_id").agg(F.max("row_id").alias("last_row"))
-    towers = history.full_history(rows).join(last, "tower_id")
     # The probability of an entity is that of its last row.
-    return watchlist.add_band(
-        towers.withColumn(
-            watchlist.PROBABILITY, F.col("last_row") * 37 % 1000 / F.lit(1000.0)
-        ).drop("last_row")
-    )
+    probability = F.col("last_row") * 37 % 1000 / F.lit(1000.0)
+    return watchlist.add_band(towers.withColumn(watchlist.PROBABILITY, probability).drop("last_row"))
 
 
 def stand_in_merged(spark: SparkSession, folder: str) -> DataFrame:
-    return watchlist.merge(scored_towers(spark, folder), stages.score_table(obs(spark, folder)))
+    rows = obs(spark, folder)
+    last = rows.groupBy("tower_id").agg(F.max("row_id").alias("last_row"))
+    towers = scratch.frozen(history.full_history(rows).join(last, "tower_id"))
+    return watchlist.merge(scored_towers(towers), stages.scores_of(towers))
 
 
 def stand_in_watchlist(spark: SparkSession, folder: str) -> DataFrame:
@@ -844,7 +841,8 @@ def _band_agrees():
 def wl_predict(spark, folder):
     rows = obs(spark, folder)
     train, _ = stages.train_and_test(rows)
-    return stages.predictions(model.fit_logistic(train), rows).select("tower_id", _band_agrees())
+    return stages.predictions(model.fit_logistic(train), history.full_history(rows)).select(
+        "tower_id", _band_agrees())
 
 
 @query("wl_output")
@@ -980,4 +978,4 @@ def st_daily(spark, folder):
     query_ = daily.write_daily_trend(
         source.from_events(stream), table, scratch.scratch_path(spark, "daily-state"))
     query_.awaitTermination()
-    return spark.read.parquet(table)
+    return daily.read_daily_trend(spark, table)

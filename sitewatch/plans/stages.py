@@ -32,6 +32,11 @@ def score_table(rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     return score.add_category(score.add_score(score_components(rows, roles)))
 
 
+def scores_of(full_history: DataFrame, roles: Roles = TOWERS) -> DataFrame:
+    """The scores out of a written full history, without aggregating the rows again."""
+    return score.add_category(score.add_score(score.add_components(score.rates_of(full_history, roles))))
+
+
 def examples(rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     """History examples with the time split."""
     return history.time_split(frozen(history.history_features(rows, roles)))
@@ -44,15 +49,16 @@ def train_and_test(rows: DataFrame, roles: Roles = TOWERS) -> tuple[DataFrame, D
     return table.where(F.col("target_date") < cut), table.where(F.col("target_date") >= cut)
 
 
-def predictions(fitted: PipelineModel, rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
+def predictions(fitted: PipelineModel, full_history: DataFrame) -> DataFrame:
     """Every entity's full history with its predicted probability and band."""
-    scored = model.predict(fitted, history.full_history(rows, roles))
+    scored = model.predict(fitted, full_history)
     return watchlist.add_band(
         scored.withColumnRenamed(model.PROBABILITY, watchlist.PROBABILITY)
     )
 
 
 def watch_table(fitted: PipelineModel, rows: DataFrame, roles: Roles = TOWERS) -> DataFrame:
-    """The ranked list of all entities."""
-    merged = watchlist.merge(predictions(fitted, rows, roles), score_table(rows, roles), roles)
+    """The ranked list of all entities; the rows are aggregated by entity once."""
+    full = frozen(history.full_history(rows, roles))
+    merged = watchlist.merge(predictions(fitted, full), scores_of(full, roles), roles)
     return watchlist.output(watchlist.add_priority(merged, entity=roles.entity), roles)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sitewatch.functions.numeric import rounded_mean
 from sitewatch.roles import TOWERS, Roles
+from sitewatch.sources.scratch import drop
 
 
 def daily_trend(stream: DataFrame, roles: Roles = TOWERS) -> DataFrame:
@@ -23,16 +24,33 @@ def daily_trend(stream: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     )
 
 
+def _versions(spark: SparkSession, table_path: str) -> list[int]:
+    """Numbers of the whole versions: one or two, whatever the size of the data."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/*/_SUCCESS")
+    marks = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)
+    return sorted(int(m.getPath().getParent().getName()) for m in marks or ())
+
+
+def read_daily_trend(spark: SparkSession, table_path: str) -> DataFrame:
+    """The last whole version of the trend."""
+    return spark.read.parquet(f"{table_path}/{_versions(spark, table_path)[-1]}")
+
+
 def write_daily_trend(
     stream: DataFrame, table_path: str, checkpoint_path: str, roles: Roles = TOWERS
 ) -> StreamingQuery:
-    """Process the files that have arrived and replace the trend table; run again for more.
+    """Process the files that have arrived and renew the trend table; run again for more.
 
-    A batch that is repeated after a failure rewrites the same whole table, so it counts once.
+    Every batch writes a version of its own below ``table_path``; ``read_daily_trend`` takes the
+    last whole one, so readers always find a table, and a batch that is repeated after a failure
+    counts once. The versions before the last two are dropped.
     """
+    spark = stream.sparkSession
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_path}/{number}")
+        for old in _versions(spark, table_path)[:-2]:
+            drop(spark, f"{table_path}/{old}")
 
     return (
         daily_trend(stream, roles)

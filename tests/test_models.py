@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from sitewatch.operators import model
+from sitewatch.operators import history, model
 from sitewatch.plans import stages
 from sitewatch.sources import scratch
 from sitewatch.sources.observations import observations
@@ -97,6 +97,6 @@ def test_tree_models_and_importance(sides):
 
 def test_predictions_cover_every_tower(spark, folder, logistic):
     rows = observations(spark, folder)
-    predicted = stages.predictions(logistic, rows)
+    predicted = stages.predictions(logistic, history.full_history(rows))
     assert predicted.count() == rows.select("tower_id").distinct().count()
     assert predicted.where("predicted_risk_probability IS NULL").count() == 0

@@ -95,6 +95,21 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert scratch.scratch_path(spark, "x") != scratch.scratch_path(spark, "x")
 
 
+def test_owned_scratch_is_dropped(spark):
+    import os
+
+    with scratch.owned(spark):
+        table = scratch.frozen(spark.range(5))
+        path = table.inputFiles()[0].removeprefix("file://").removeprefix("file:").rpartition("/")[0]
+        assert os.path.exists(path) and table.count() == 5
+    assert not os.path.exists(path)
+
+
+def test_watchlist_names_missing_columns(make_obs):
+    with pytest.raises(ValueError, match="latest_uptime"):
+        watchlist.output(make_obs([{}]))
+
+
 def test_batch_run_end_to_end(spark, folder, tmp_path):
     # Measures must be known for the models.
     raw = clean.castable(raw_observations(spark, folder)).where(

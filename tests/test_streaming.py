@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.operators import rollup
 from sitewatch.sources import observations as source
-from sitewatch.streaming.daily import write_daily_trend
+from sitewatch.streaming.daily import read_daily_trend, write_daily_trend
 
 TREND = ["observations", "total_outages", "total_downtime_minutes", "avg_uptime_pct"]
 
@@ -21,7 +21,7 @@ def test_trend_follows_arriving_files(spark, folder, tmp_path):
     # The second delivery has rows of days already reported.
     arrive(events.where(F.col("event_id") % 2 == 0))
     arrive(events.where(F.col("event_id") % 2 == 1))
-    found = spark.read.parquet(table)
+    found = read_daily_trend(spark, table)
     wanted = rollup.breakdown(source.from_events(events), ["obs_date"], TREND)
     assert found.count() == wanted.count()
     assert found.select("obs_date", *TREND).exceptAll(wanted).count() == 0
