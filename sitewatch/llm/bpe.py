@@ -349,21 +349,33 @@ def _rank_file(df: DataFrame, ranks_path: str):
 
 
 def encode(
-    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids"
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str | None = None,
 ) -> DataFrame:
     """Adds the token ids of ``text`` as ``array<int>``; a null or empty text has none.
 
+    With ``decoded``, a column of that name gets the text that the ids decode to, in the same
+    task, so that a check of the round trip needs no second worker beside the encoder's.
+
     Every match of ``pattern`` is encoded by itself, without special tokens. Whole texts are
     encoded, of any length; rows are taken as they are, repeated ones too. A column of the
     output's name is replaced.
     """
     require(df, text)
     data = _rank_file(df, ranks_path)
-    df = df.drop(ids)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        added.append(T.StructField(decoded, T.StringType()))
+    df = df.drop(*[f.name for f in added])
+    schema = T.StructType([*df.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data.value, pattern)
+        tokens, whole = _vocabulary(data.value) if decoded else ({}, None)
         for batch in batches:
             for part in slices(batch, text):
                 flat = encoder.encode_all(t or "" for t in part.column(text).to_pylist())
@@ -371,11 +383,19 @@ def encode(
                 column = pa.ListArray.from_arrays(
                     pa.array(starts, pa.int32()), pa.array(np.concatenate(flat), pa.int32())
                 )
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
+                columns = [*part.columns, column]
+                if decoded:
+                    columns.append(pa.array([_decoded(x, tokens, whole) for x in flat], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _decoded(ids: Sequence[int], tokens: dict[int, bytes], whole: WholeTokens) -> str:
+    decoder = StreamingDecoder(tokens, whole)
+    return decoder.push(ids) + decoder.finish()
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of token ids; null ids are no ids, an unknown id fails.
 
@@ -391,12 +411,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decode
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = []
-                for row in part.column(ids):
-                    decoder = StreamingDecoder(tokens, whole)
-                    known = row.values.to_numpy(zero_copy_only=False) if row.is_valid else ()
-                    texts.append(decoder.push(known) + decoder.finish())
-                column = pa.array(texts, pa.string())
+                known = [r.values.to_numpy(zero_copy_only=False) if r.is_valid else () for r in part.column(ids)]
+                column = pa.array([_decoded(x, tokens, whole) for x in known], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, text])
 
     return df.mapInArrow(run, schema)

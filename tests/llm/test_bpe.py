@@ -108,6 +108,8 @@ def test_odd_texts_and_clashing_names(spark, odd_docs, no_docs):
     back = bpe.decode(bpe.encode(df, PATH, PATTERN), PATH).collect()
     assert sorted((r["text"] or "") for r in back) == sorted(r["decoded"] for r in back)
     assert len(back) == odd_docs.count()
+    both = bpe.encode(df, PATH, PATTERN, decoded="decoded").select("text", "decoded").collect()
+    assert all((r["text"] or "") == r["decoded"] for r in both) and len(both) == len(back)
     assert bpe.decode(bpe.encode(no_docs, PATH, PATTERN), PATH).collect() == []
     with pytest.raises(ValueError, match="missing"):
         bpe.encode(no_docs.drop("text"), PATH, PATTERN)
