@@ -5,8 +5,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sitewatch.operators import entity, quality, risk, score
+from sitewatch.operators import dashboard, entity, history, quality, risk, rollup, score, watchlist
+from sitewatch.plans import stages
+from sitewatch.roles import Roles
 from sitewatch.sources.observations import observations, raw_observations
+from sitewatch.sources.scratch import frozen
 
 
 def test_mode_ties_take_the_first_label(make_obs):
@@ -130,3 +133,62 @@ def test_duplicate_key_limit(spark, n, limit):
     df = spark.range(2 * n).select((F.col("id") % n).cast("string").alias("k"), F.col("id").alias("v"))
     got = quality.duplicate_keys(df, ["k"], {"values": "v"}, limit).collect()
     assert [r["k"] for r in got] == ["0", "1"]
+
+
+def test_headline_check_fails_on_a_damaged_layer(make_obs):
+    whole = make_obs([{"outage_count": 2}, {}, {}])
+    expected = whole.agg(
+        F.round(F.avg("uptime_percentage"), 2).alias("avg_uptime_pct"),
+        F.sum("downtime_minutes").alias("total_downtime"),
+        F.sum("outage_count").alias("total_outages"),
+        F.sum("avg_users_affected").alias("total_users_affected"),
+    )
+    names = [f"{c}_ok" for c in expected.columns]
+    assert all(rollup.headline_check(whole, expected).first()[n] for n in names)
+    damaged = whole.withColumn("outage_count", F.when(F.col("row_id") == 1, 3).otherwise(F.col("outage_count")))
+    row = rollup.headline_check(damaged, expected).first()
+    assert not row["total_outages_ok"] and row["total_downtime_ok"]
+    assert not rollup.headline_check(whole.where("row_id > 1"), expected).first()["total_downtime_ok"]
+
+
+def test_rows_without_entity_change_no_score(make_obs):
+    known = [
+        {"tower_id": f"AAA-{i % 4}", "row_id": i, "uptime_percentage": Decimal(90 + i), "avg_users_affected": i}
+        for i in range(8)
+    ]
+    odd = [{"tower_id": None, "row_id": 50, "uptime_percentage": Decimal("1.00"), "avg_users_affected": 99999}]
+    tables = [
+        {r["tower_id"]: tuple(r) for r in stages.score_table(make_obs(rows)).collect()}
+        for rows in (known, known + odd)
+    ]
+    assert tables[0] == tables[1] and None not in tables[1]
+
+
+def test_scores_out_of_the_full_history_are_the_same(make_obs):
+    rows = make_obs([
+        {"tower_id": f"AAA-{i % 3}", "row_id": i, "downtime_minutes": Decimal(i), "avg_users_affected": i % 4}
+        for i in range(12)
+    ])
+    full = frozen(history.full_history(rows))
+    a, b = stages.score_table(rows), stages.scores_of(full)
+    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+
+
+def test_another_entity_name_from_rows_to_the_list(make_obs):
+    roles = Roles(entity="site")
+    rows = make_obs([
+        {"tower_id": f"AAA-{i % 5}", "row_id": i, "downtime_minutes": Decimal(i), "avg_users_affected": i % 4,
+         "operator": f"o{i % 2}"}
+        for i in range(20)
+    ]).withColumnRenamed("tower_id", "site")
+    full = frozen(history.full_history(rows, roles))
+    scored = full.withColumn(watchlist.PROBABILITY, F.col("hist_pct_impactful"))
+    merged = watchlist.merge(watchlist.add_band(scored), stages.scores_of(full, roles), roles)
+    listed = watchlist.output(watchlist.add_priority(merged, entity="site"), roles)
+    assert listed.columns == list(watchlist.OUTPUT) and listed.count() == 5
+    check = watchlist.validate(listed, rows, roles).first()
+    assert check["covers_all"] and check["key_unique"]
+    board = stages.risk_table(rows, roles=roles)
+    legends = dashboard.materialised_legends(rows, roles)
+    assert dashboard.crosstab(listed, board, legends, roles).agg(F.sum("n")).first()[0] == 5
+    assert history.history_features(rows, roles).count() == 15

@@ -88,6 +88,20 @@ def test_large_dictionary_is_joined_by_shuffle(spark, folder):
     assert all(r["op"] is not None and r["rs"] is not None for r in rows)
 
 
+def test_one_large_dimension_leaves_the_other_joins_broadcast(spark, folder):
+    df = observations(spark, folder)
+    dictionary = dict(dashboard.materialised_legends(df))
+    more = spark.range(200_000).selectExpr("CAST(id + 1000 AS INT) AS code", "uuid() AS value")
+    dictionary["cities"] = frozen(dictionary["cities"].unionByName(more))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")
+    try:
+        text = plan(dashboard.observation_cube(df, dictionary))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert text.count("BroadcastHashJoin") == 5 and text.count("SortMergeJoin") == 1
+
+
 def test_hot_tower_is_split_in_the_back_join(spark, folder):
     df = frozen(
         observations(spark, folder)
