@@ -10,14 +10,10 @@ from pyspark.sql import functions as F
 from sitewatch.functions import bands
 from sitewatch.functions.calendar import calendar_columns
 from sitewatch.roles import TOWERS, Roles
+from sitewatch.sources.raw import FEATURE_EXPORT_SCHEMA
 
-# Columns of the feature export, in order.
-EXPORT_COLUMNS = (
-    "row_id", "tower_id", "obs_date", "operator", "city", "state", "uptime_percentage",
-    "downtime_minutes", "outage_count", "outage_reason", "network_type",
-    "avg_users_affected", "outage_severity", "reliability_status", "high_risk_flag",
-    "downtime_hours", "observation_month", "day_of_week",
-)
+# Columns of the feature export, in order.
+EXPORT_COLUMNS = tuple(column.split()[0] for column in FEATURE_EXPORT_SCHEMA.split(", "))
 
 
 def add_calendar(df: DataFrame, roles: Roles = TOWERS) -> DataFrame:

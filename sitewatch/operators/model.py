@@ -67,6 +67,18 @@ def add_class_weight(train: DataFrame, label: str = LABEL) -> DataFrame:
     return train.join(F.broadcast(weights), label)
 
 
+def _with_weights(train: DataFrame, label: str = LABEL) -> tuple[DataFrame, int]:
+    """Balanced weights written into the query, from one pass over the labels, and the row count.
+
+    One row per class reaches the driver.
+    """
+    classes = class_weights(train, label).collect()
+    weight = F.lit(None).cast("double")
+    for r in classes:
+        weight = F.when(F.col(label) == r["label"], F.lit(r["weight"])).otherwise(weight)
+    return train.withColumn(WEIGHT, weight), sum(r["n"] for r in classes)
+
+
 def scaling(train: DataFrame, columns: tuple[str, ...] = NUMERIC_FEATURES) -> DataFrame:
     """Mean and population standard deviation per numeric feature."""
     one_row = train.agg(
@@ -122,9 +134,9 @@ def fit_logistic(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineMo
     Balanced weights add up to the row count, so dividing the penalised objective by it gives
     a regularisation of one over the number of rows.
     """
-    weighted = add_class_weight(train)
+    weighted, rows = _with_weights(train)
     model = LogisticRegression(
-        **_COLUMNS, weightCol=WEIGHT, regParam=1.0 / train.count(),
+        **_COLUMNS, weightCol=WEIGHT, regParam=1.0 / rows,
         elasticNetParam=0.0, standardization=False, maxIter=config.iterations,
         tol=config.tolerance,
     )
@@ -139,9 +151,7 @@ def fit_forest(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineMode
         maxDepth=config.tree_depth, minInstancesPerNode=config.tree_min_rows,
         featureSubsetStrategy="sqrt", seed=config.seed,
     )
-    return Pipeline(stages=[*encoder(config), assembler(config), model]).fit(
-        add_class_weight(train)
-    )
+    return Pipeline(stages=[*encoder(config), assembler(config), model]).fit(_with_weights(train)[0])
 
 
 def fit_boosting(train: DataFrame, config: ModelConfig = DEFAULTS) -> PipelineModel:
