@@ -149,7 +149,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFram
         words = bits // 64 + (bits % 64 > 0)
         apart = reduce(add, [F.bit_count(F.col("code")[w].bitwiseXOR(F.col("q")[w])) for w in range(words)])
         met = (
-            probes.join(tables, ["segment", "value"])
+            # Of a size that Spark cannot foresee, so never a broadcast.
+            probes.hint("merge").join(tables, ["segment", "value"])
             .join(left.select("query", F.col("code").alias("q")), "query")
             .select("query", apart.cast("int").alias("distance"), F.explode("keys").alias("key"))
         )
