@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,18 +88,22 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dup_lines, repeated], features
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
+def measure(df: DataFrame, text: str = "text", model: boosting.Trees | None = None) -> DataFrame:
     """Adds the counts and the array ``features``, without the text; null is a text without words.
 
-    Columns with the names of the results are replaced.
+    With a model, the features are scored in the same task, and ``quality_score`` takes their
+    place. Columns with the names of the results are replaced.
     """
     require(df, text)
-    kept = [c for c in df.columns if c not in (*COUNTS, "features", text)]
+    last = T.StructField("features", T.ArrayType(T.DoubleType()))
+    if model is not None:
+        last = T.StructField("quality_score", T.DoubleType())
+    kept = [c for c in df.columns if c not in (*COUNTS, last.name, text)]
     schema = T.StructType(
         [
             *df.select(*kept).schema.fields,
             *[T.StructField(c, T.LongType()) for c in COUNTS],
-            T.StructField("features", T.ArrayType(T.DoubleType())),
+            last,
         ]
     )
 
@@ -112,8 +115,12 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             counts = np.array([c for c, _ in found], np.int64)
             columns = [batch.column(c) for c in kept]
             columns += [pa.array(counts[:, i]) for i in range(len(COUNTS))]
-            columns.append(pa.array([f for _, f in found], pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *COUNTS, "features"])
+            features = np.array([f for _, f in found])
+            if model is not None:
+                columns.append(pa.array(model.score(features)))
+            else:
+                columns.append(pa.array(list(features), pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return df.select(*kept, text).mapInArrow(run, schema)
 
@@ -151,30 +158,18 @@ def fit(
     return boosting.fit(x, found["label"].to_numpy(np.float64), MONOTONIC)
 
 
-def judge(measured: DataFrame, model: boosting.Trees, threshold: float = 0.5) -> DataFrame:
-    """Adds ``base_failed``, ``quality_score`` and ``kept``, in place of ``features``.
+def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Adds ``base_failed`` and ``kept`` to documents measured with a model.
 
     A text fails the base rules with fewer than 20 words, or with over 30 % of its words in
     windows that return. What passes them is kept if the trees score it ``threshold`` or more.
     """
-    score = _scorer(model)
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
-    names = [c for c in measured.columns if c not in ("features", "base_failed", "quality_score", "kept")]
-    return measured.select(
-        *names, failed.alias("base_failed"), score("features").alias("quality_score")
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= threshold))
-
-
-def _scorer(model: boosting.Trees):
-    @F.pandas_udf("double")
-    def score(features: pd.Series) -> pd.Series:
-        if not len(features):
-            return pd.Series([], dtype="float64")
-        return pd.Series(model.score(np.stack(features.to_numpy())))
-
-    return score
+    return measured.withColumn("base_failed", failed).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("quality_score") >= threshold)
+    )
 
 
 def assess(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -183,5 +178,5 @@ def assess(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     Repeated rows come back as often. Rows without a key are judged like others, but are not
     fitted on.
     """
-    return judge(measure(docs, text), fit(docs, labels, key, text))
+    return judge(measure(docs, text, fit(docs, labels, key, text)))
 

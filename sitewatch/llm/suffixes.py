@@ -442,7 +442,7 @@ def _covered(found: Contexts, keys: np.ndarray, heavy: np.ndarray, replies: list
     return np.concatenate(begins), np.concatenate(ends)
 
 
-def _remove(docs: pa.Table, replies: pa.Table) -> pa.Table:
+def _remove(docs: pa.Table, replies: pa.Table, whole_characters: bool) -> pa.Table:
     """Spans that go, and the bytes that stay, of each document of the group."""
     heavy = _listed(replies, 1)
     parts = [
@@ -471,7 +471,8 @@ def _remove(docs: pa.Table, replies: pa.Table) -> pa.Table:
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]])))
             begins_of.append(edges[::2])
             ends_of.append(edges[1::2])
-            kept_of.append(data[a:b][~gone[a:b]].tobytes())
+            kept = data[a:b][~gone[a:b]].tobytes()
+            kept_of.append(kept.decode("utf-8", "ignore").encode() if whole_characters else kept)
     spans = pa.list_(pa.int64())
     return pa.Table.from_arrays(
         [docs.column("rest"), pa.array(begins_of, spans), pa.array(ends_of, spans), pa.array(kept_of, pa.binary())],
@@ -509,6 +510,7 @@ def duplicate_passages(
     text: str = "text",
     group_bytes: int = GROUP_BYTES,
     heavy: int = HEAVY,
+    whole_characters: bool = False,
 ) -> DataFrame:
     """Adds ``begins`` and ``ends`` of the spans to remove, in bytes, and ``kept``, the bytes left.
 
@@ -516,6 +518,7 @@ def duplicate_passages(
     ``key``. Strings are judged on the input, never cross texts, and may overlap; spans are the
     maximal runs of removed bytes. A null text is empty. Rows with the same key do not take from
     each other; rows without a key neither take nor give. ``text`` is replaced by the results.
+    With ``whole_characters``, ``kept`` lacks what is left of characters that a span cuts.
 
     All steps are one query: the documents are shuffled once, and Spark reads that shuffle for
     each step.
@@ -546,7 +549,9 @@ def duplicate_passages(
             T.StructField("kept", T.BinaryType()),
         ]
     )
-    removed = by_group.cogroup(replies.groupBy("target")).applyInArrow(_remove, result)
+    removed = by_group.cogroup(replies.groupBy("target")).applyInArrow(
+        lambda left, right: _remove(left, right, whole_characters), result
+    )
     none = F.array().cast("array<long>")
     whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     unkeyed = rows.where("key IS NULL").select(
