@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Text bytes a task works on at a time; a longer text is a batch of its own.
 SLICE_BYTES = 4 << 20
@@ -25,14 +24,6 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores in front until no column of ``df`` is called so."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a text column in one array, and where each text starts; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -60,7 +51,3 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, most: int = SLICE_BYTE
         held += n
     if len(sizes) > start:
         yield batch.slice(start)
-
-
-def long_ids(ids: DataFrame, name: str = "doc_id") -> DataFrame:
-    return ids.withColumn(name, F.col(name).cast("long"))
