@@ -4,7 +4,7 @@ Codes are cut into segments, and every segment has an index of its own. Round r
 each unfinished query and each segment, the segment values that differ in exactly r bits. A code
 not met after round r differs by more than r bits in every segment, so by at least
 ``segments * (r + 1)`` in all: once a query's k-th verified distance is below that, its answer
-is proven and it leaves.
+is proven and it leaves. Until then its k-th distance bounds what a lookup lets through.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def _trim(rows: pa.Table, by: str, order: list[str], k: int) -> pa.Table:
 
 
 def _probes(queries: DataFrame, segments: int, radius: int) -> DataFrame:
-    """``(query, code, segment, value)`` for all segment values at exactly ``radius`` bits."""
+    """Rows ``(query, q, most)`` with ``(segment, value)`` for all values at ``radius`` bits."""
     masks = np.array(
         [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT_BITS), radius)], np.int32
     )
@@ -105,14 +105,15 @@ def _probes(queries: DataFrame, segments: int, radius: int) -> DataFrame:
                 found = (values[:, None] ^ masks[None, :]).ravel()
                 numbers = np.repeat(np.arange(segments, dtype=np.int32), len(masks))
                 same = pa.array(np.zeros(len(found), np.int32))
+                own = [row.column(c).take(same) for c in ("query", "q", "most")]
                 yield pa.RecordBatch.from_arrays(
-                    [row.column("query").take(same), pa.array(numbers), pa.array(found)],
-                    ["query", "segment", "value"],
+                    [*own, pa.array(numbers), pa.array(found)],
+                    ["query", "q", "most", "segment", "value"],
                 )
 
-    parts = F.array(*[_segment(F.col("code"), i) for i in range(segments)])
-    return queries.select("query", parts.alias("segments")).mapInArrow(
-        run, "query long, segment int, value int"
+    parts = F.array(*[_segment(F.col("q"), i) for i in range(segments)])
+    return queries.select("query", "q", "most", parts.alias("segments")).mapInArrow(
+        run, "query long, q array<long>, most int, segment int, value int"
     )
 
 
@@ -141,18 +142,17 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFram
     left = frozen(
         queries.where("key IS NOT NULL")
         .groupBy(F.col("key").alias("query"))
-        .agg(F.min("code").alias("code"))
+        .agg(F.min("code").alias("q"), F.lit(bits).alias("most"))
     )
+    words = bits // 64 + (bits % 64 > 0)
+    apart = reduce(add, [F.bit_count(F.col("code")[w].bitwiseXOR(F.col("q")[w])) for w in range(words)])
     best, done = None, []
     for radius in range(SEGMENT_BITS + 1):
-        probes = _probes(left, segments, radius)
-        words = bits // 64 + (bits % 64 > 0)
-        apart = reduce(add, [F.bit_count(F.col("code")[w].bitwiseXOR(F.col("q")[w])) for w in range(words)])
-        met = (
-            # Of a size that Spark cannot foresee, so never a broadcast.
-            probes.hint("merge").join(tables, ["segment", "value"])
-            .join(left.select("query", F.col("code").alias("q")), "query")
-            .select("query", apart.cast("int").alias("distance"), F.explode("keys").alias("key"))
+        # Of a size that Spark cannot foresee, so never a broadcast.
+        probes = _probes(left, segments, radius).hint("merge").alias("p")
+        same = (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value"))
+        met = probes.join(tables.alias("t"), same & (apart <= F.col("most"))).select(
+            "query", apart.cast("int").alias("distance"), F.explode("keys").alias("key")
         )
         if best is not None:
             met = met.union(best.select("query", F.explode("best").alias("b")).select("query", "b.*"))
@@ -163,7 +163,13 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFram
             proven = F.lit(True)
         done.append(best.where(proven))
         best = best.where(~proven)
-        left = frozen(left.join(done[-1], "query", "left_anti"))
+        # The k-th distance so far, where there are k: farther codes cannot be among the nearest.
+        kth = best.select("query", F.get("best", F.lit(k - 1))["distance"].alias("kth"))
+        left = frozen(
+            left.join(done[-1], "query", "left_anti")
+            .join(kth, "query", "left")
+            .select("query", "q", F.coalesce("kth", F.lit(bits)).alias("most"))
+        )
         if left.isEmpty():
             break
     found = reduce(DataFrame.union, done)
