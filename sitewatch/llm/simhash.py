@@ -32,16 +32,21 @@ _FOLD = bytes.maketrans(_UPPER, _LOWER)
 _COUNTED = 1 << 14
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of the shingles of ``text``, repeats included; zero without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of ``text``, repeats included; none without words."""
     words = text.translate(_FOLD).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     ends = (ends - 1).tolist()[min(shingle, len(words)) - 1 :]
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """SimHash of the shingles of ``text``, repeats included; zero without words."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _COUNTED):
         part = hashes[i : i + _COUNTED].view(np.uint8).reshape(-1, 8)
