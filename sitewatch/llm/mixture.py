@@ -1,13 +1,15 @@
 """Mixing sources to target weights: whole passes, then a subset whose sizes sum to the rest.
 
-Documents are counted by exact size within each source. Of every size the same fraction is
-taken, rounded down; bounded-knapsack dynamic programming over what is left of each size then
-meets the remaining budget to the word, where some subset does. The counts are filled with
-documents in a seeded order.
+Documents are counted by exact size within each source. What whole passes leave is drawn evenly
+over all documents in the order of their sizes, but for a small rest. Bounded-knapsack dynamic
+programming over what is left of each size, in a seeded order, then meets the rest to the word,
+where some subset does; it draws a document again only where those not drawn cannot meet it.
+The counts are filled with documents in a seeded order.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,6 +23,9 @@ from sitewatch.sources.scratch import frozen
 
 # Words left to the dynamic programming; what exceeds them is taken largest sizes first.
 EXACT_WORDS = 1 << 16
+# Of the words that whole passes leave, one in so many is left to the dynamic programming at most,
+# but never less than two of the longest documents.
+EVENLY = 16
 
 
 def word_count(text: str) -> Column:
@@ -61,20 +66,23 @@ def source_targets(
     )
 
 
-def exact_subset(sizes: list[int], free: list[int], budget: int) -> list[int]:
+def exact_subset(
+    sizes: list[int], free: list[int], budget: int, order: Sequence[int] | None = None
+) -> list[int]:
     """How many of each size to take, at most ``free`` of each, so that they sum to ``budget``.
 
-    If no choice does, the sum is the largest one below. Bit s of ``reached`` says that some
+    If no choice does, the sum is the largest one below. What exceeds ``EXACT_WORDS`` is taken
+    longest sizes first, the others in ``order`` (places of the sizes), longest first without it. Bit s of ``reached`` says that some
     choice among the items so far sums to s; every sum remembers the item that first reached it.
     """
     taken = [0] * len(sizes)
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    for i in order:
+    longest = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for i in longest:
         if budget > EXACT_WORDS and sizes[i]:
             taken[i] = min(free[i], (budget - EXACT_WORDS) // sizes[i])
             budget -= taken[i] * sizes[i]
     items = []  # sizes with halving multiplicities: any number up to the free one is a sum of them
-    for i in order:
+    for i in longest if order is None else order:
         left = min(free[i] - taken[i], budget // sizes[i] if sizes[i] else 0)
         step = 1
         while left > 0:
@@ -99,19 +107,41 @@ def exact_subset(sizes: list[int], free: list[int], budget: int) -> list[int]:
     return taken
 
 
-def plan_source(counts: pd.DataFrame, ceiling: float) -> pd.DataFrame:
+def even_draw(n: list[int], words: int, total: int, start: int) -> list[int]:
+    """Of all documents in the order of their sizes, every ``total / words``-th one.
+
+    The sizes of those drawn sum to ``words`` within the size of the longest document.
+    """
+    ends = [0]
+    for count in n:
+        ends.append(ends[-1] + count)
+    places = [(end * words + start) // total for end in ends]  # exact: integers
+    return [b - a for a, b in zip(places, places[1:])]
+
+
+def plan_source(counts: pd.DataFrame, ceiling: float, seed: int = 7) -> pd.DataFrame:
     """``passes`` and ``picks`` of every size, from one source's rows ``(size, n, target, ...)``."""
     counts = counts.sort_values("size")
-    size, n = counts["size"].to_numpy(), counts["n"].to_numpy()
+    size, n = counts["size"].tolist(), counts["n"].tolist()
     total = int(counts["source_size"].iloc[0])
     budget = min(int(round(counts["target"].iloc[0])), int(ceiling * total))
     passes, rest = divmod(budget, total) if total else (0, 0)
-    base = n * rest // total if total else n * 0  # exact: integers
-    left = rest - int((base * size).sum())
+    name = counts["source"].iloc[0] if "source" in counts else None
+    rng = np.random.default_rng([seed, zlib.crc32(name.encode()) if isinstance(name, str) else 0])
+    words = max(0, rest - max(2 * size[-1], min(EXACT_WORDS // 2, rest // EVENLY)))
+    base = even_draw(n, words, total, int(rng.integers(total))) if words else [0] * len(n)
+    left = rest - sum(b * s for b, s in zip(base, size))
     # A document may be picked once more than others, as long as it stays below the ceiling.
-    free = (int(ceiling) - passes) * n - base
-    more = exact_subset(size.tolist(), free.tolist(), left)
-    return counts.assign(passes=passes, picks=base + np.array(more, np.int64))
+    free = [max(0, (int(ceiling) - passes) * k - b) for k, b in zip(n, base)]
+    unused = [min(f, k - b) for f, k, b in zip(free, n, base)]
+    order = rng.permutation(len(n)).tolist()
+    more = exact_subset(size, unused, left, order)
+    if sum(m * s for m, s in zip(more, size)) < left:
+        again = [f - u for f, u in zip(free, unused)]
+        twice = exact_subset(size * 2, unused + again, left, order + [i + len(n) for i in order])
+        more = [a + b for a, b in zip(twice[: len(n)], twice[len(n) :])]
+    picks = [b + m for b, m in zip(base, more)]
+    return counts.assign(passes=passes, picks=np.array(picks, np.int64))
 
 
 def mix(
@@ -159,7 +189,7 @@ def mix(
         counts.select("counts.*", "source_size", "target")
         .groupBy("source")
         .applyInPandas(
-            lambda part: plan_source(part, ceiling),
+            lambda part: plan_source(part, ceiling, seed),
             "source string, size long, n long, first long, source_size long, target double, "
             "passes long, picks long",
         )

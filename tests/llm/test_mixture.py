@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,35 @@ def test_hot_sizes_null_source_and_repeated_rows(spark):
 
 def test_no_rows(spark, no_docs):
     assert mixture.mix(no_docs, "n_chars").collect() == []
+
+
+def planned(n, share, ceiling=2, seed=7):
+    """Copies a document for each size, from a source with ``n`` documents of each size."""
+    counts = pd.DataFrame([(s, k) for s, k in sorted(n.items())], columns=["size", "n"])
+    total = int((counts["size"] * counts["n"]).sum())
+    plan = mixture.plan_source(counts.assign(source="a", source_size=total, target=share * total), ceiling, seed)
+    taken = plan["passes"] * plan["n"] + plan["picks"]
+    assert (taken >= 0).all() and (taken <= ceiling * plan["n"]).all()
+    assert int((taken * plan["size"]).sum()) == round(share * total)
+    return taken.to_numpy(), plan["n"].to_numpy()
+
+
+@pytest.mark.parametrize("share", [0.25, 0.75, 1.5])
+@pytest.mark.parametrize("n", [
+    {s: 1 for s in range(1, 1001)}, {s: 1 for s in range(1, 201)}, {s: 3 for s in range(50, 5000, 3)},
+])
+def test_copies_do_not_depend_on_length(n, share):
+    taken, have = planned(n, share)
+    quarters = [t.sum() / h.sum() for t, h in zip(np.array_split(taken, 4), np.array_split(have, 4))]
+    assert all(abs(q - share) < 0.07 for q in quarters), quarters
+    # No second copies while others have none, but for the small rest.
+    whole = int(share)
+    assert (taken < whole * have).sum() <= 0.01 * len(have)
+    assert (taken > (whole + 1) * have).sum() <= 0.01 * len(have)
+
+
+def test_a_long_document_and_seeds():
+    planned({1: 40_000, 7: 10_000, 200_000: 2, 300_000: 1}, 0.9)
+    small = {s: 2 for s in range(5, 60)}
+    one, again, other = (planned(small, 0.5, seed=s)[0].tolist() for s in (1, 1, 2))
+    assert one == again != other
