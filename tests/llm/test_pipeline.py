@@ -92,3 +92,16 @@ def test_copies_without_words_are_near_duplicates(spark, odd_docs):
     left = corpus_pipeline.near_duplicates(spark, odd_docs, SMALL)
     assert left.where("doc_id IN (0, 1, 2)").count() == 1
     assert simhash.near_duplicates(odd_docs).count() == odd_docs.count()
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, null ids, and an id with two texts."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, c), (5, c), (7, d), (7, e), (3, e)]
+    docs = spark.createDataFrame(
+        [(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    left = corpus_pipeline.near_duplicates(spark, docs.repartition(3), SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=lambda r: r[1]) == [
+        (1, a), (None, b), (5, c), (7, d), (3, e)
+    ]
