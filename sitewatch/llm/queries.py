@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm import bpe, hamming, hilbert, mixture, quality, rans, simhash, suffixes, toxicity, warc
+from sitewatch.llm import (
+    bpe, hamming, hilbert, mixture, quality, rans, simhash, suffixes, toxicity, tries, warc,
+)
 from sitewatch.llm.arrow import table
 from sitewatch.llm.files import shared_folder
 
@@ -120,6 +122,11 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return tries.audit(tries.failures(docs), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -131,6 +138,7 @@ QUERIES = {
     "op8_hilbert": op8_hilbert,
     "op9_toxicity": op9_toxicity,
     "op10_mixture": op10_mixture,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -162,4 +170,51 @@ ORACLES: dict[str, str] = {
             FROM pairs
         )
         SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""",
+    "op11_filter_audit": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), failed AS (
+            SELECT doc_id, part,
+                   [len(w) < 100,
+                    100 * len(list_distinct(w)) < 80 * len(w),
+                    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+                    regexp_matches(t, '[#$%&*|]'),
+                    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f
+            FROM texts
+        ), known AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad
+            FROM labels GROUP BY doc_id
+        ), masks AS (
+            SELECT part, f, count(*) AS n,
+                   count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad
+            FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, f
+        ), letters AS (
+            SELECT unnest([1, 2, 3, 4, 5]) AS i
+        ), orders AS (
+            SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+        ), steps AS (
+            SELECT o, s.i AS step, o[s.i] AS letter FROM orders, letters s
+        ), seen AS (
+            SELECT part, o, step, letter, n, good, bad, f[letter] AS fails,
+                   len(list_filter(o[1:step - 1], lambda x: f[x])) > 0 AS gone,
+                   len(list_filter(f, lambda x: x)) = 1 AS once
+            FROM masks, steps
+        ), counted AS (
+            SELECT part, o, step, letter,
+                   coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (WHERE fails AND gone), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (WHERE fails AND once), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS good_lost,
+                   coalesce(sum(bad) FILTER (WHERE fails AND NOT gone), 0)::BIGINT AS toxic_lost
+            FROM seen GROUP BY part, o, step, letter
+        )
+        SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order,
+               step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM counted""",
 }
