@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import (
-    bpe, hamming, hilbert, mixture, quality, rans, simhash, suffixes, toxicity, tries, warc,
+    bpe, hamming, hilbert, mixture, quality, rans, simhash, suffixes, toxicity, treebpe, tries, warc,
 )
 from sitewatch.llm.arrow import table
 from sitewatch.llm.files import shared_folder
@@ -127,6 +127,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.audit(tries.failures(docs), table(spark, sf_dir, "labels"))
 
 
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = treebpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -139,6 +150,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_mixture": op10_mixture,
     "op11_filter_audit": op11_filter_audit,
+    "op13_tree_bpe": op13_tree_bpe,
 }
 
 ORACLES: dict[str, str] = {

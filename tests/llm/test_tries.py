@@ -106,7 +106,7 @@ def test_long_common_beginnings_are_parted(spark):
     assert len(heavy) >= 3 and total > 20_000
     assert all(len(start) == tries.FIRST * tries.LONGER**i for i, some in enumerate(heavy) for start in some)
     borders = tries._borders(docs, "text", heavy, total, 20_000)
-    assert sum(b.startswith(start[:2048]) for b in borders) > 3  # ranges within the common beginning
+    assert sum(b.startswith(start[:2048]) for b in borders) >= 3  # 50 texts, 16 a range: ranges within the common beginning
     failed = tries.failures(docs, range_bytes=20_000)
     assert got_failures(failed) == plain_failures(rows)
 
