@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import (
-    bpe, hamming, hilbert, mixture, quality, rans, simhash, suffixes, toxicity, treebpe, tries, warc,
+    alignment, bpe, hamming, hilbert, mixture, quality, rans, simhash, suffixes, toxicity, treebpe, tries, warc,
 )
 from sitewatch.llm.arrow import table
 from sitewatch.llm.files import shared_folder
@@ -127,6 +127,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.audit(tries.failures(docs), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path
+    return alignment.link_scores(docs, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = treebpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -150,6 +156,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_mixture": op10_mixture,
     "op11_filter_audit": op11_filter_audit,
+    "op12_alignment": op12_alignment,
     "op13_tree_bpe": op13_tree_bpe,
 }
 
