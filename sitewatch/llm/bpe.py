@@ -5,7 +5,8 @@ A sequence of tokens is what merging by rank gives exactly when every two neighb
 nondeterministic transducer whose places are (last token, bytes read of the next one). Its
 subsets of places become states only when a text first reaches them. The tokens that all places
 of a subset agree on are emitted at once; what they disagree on is at most one token's length of
-lookahead. Both tables are flushed when full, so memory is bounded for any input.
+lookahead. Tables that are full keep what was learned first, which is met most often, so memory
+is bounded for any input.
 """
 
 from __future__ import annotations
@@ -74,6 +75,18 @@ class Transducer:
         self.emissions: list[tuple[int, ...]] = [()]
         self.emission_numbers: dict[tuple[int, ...], int] = {(): 0}
 
+    def _halve(self) -> None:
+        """Forgets the states after the first half of the table: those met first stay."""
+        keep = self.most_states // 2
+        if len(self.emissions) > self.most_states or keep < 2:
+            self._reset()
+            return
+        del self.places[keep:]
+        self.numbers = {p: i for i, p in enumerate(self.places)}
+        self.moves = {
+            k: step for k, step in self.moves.items() if k >> 8 < keep and step & _EMITS - 1 < keep
+        }
+
     def merged(self, data: bytes, below: int = 1 << 62) -> list[int]:
         """Merging by rank, the definition, with the merges ranked lower than ``below``."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
@@ -179,7 +192,7 @@ class Transducer:
         if whole is not None:
             return [whole]
         if len(self.places) > self.most_states:
-            self._reset()
+            self._halve()
         state, out, known = 0, [], self.moves.get
         for byte in piece:
             step = known(state << 8 | byte)
@@ -223,15 +236,20 @@ class Encoder:
             pieces = (self.split_ascii if text.isascii() else self.split)(text)
             new = set(pieces).difference(known)
             if new and len(known) + len(new) > self.most:
-                known.clear()
-                new = set(pieces)
+                self._forget()
+                new = set(pieces).difference(known)
             for piece in new:
                 known[piece] = pack("<%di" % len(ids := encode(piece.encode())), *ids)
             out.append(np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<i4"))
             if len(known) > self.most:  # one text with more different matches
-                known.clear()
+                self._forget()
         return out
 
+    def _forget(self) -> None:
+        """Drops all but the first half of the matches: those met first are met most often."""
+        for piece in list(self.known)[self.most // 2 :]:
+            del self.known[piece]
+
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
 
@@ -302,16 +320,20 @@ class StreamingDecoder:
 
     def push(self, ids: Sequence[int]) -> str:
         ids, texts = np.asarray(ids, np.int64), self.whole.texts
-        if not self.pending and self.whole.mask[ids].all():
-            return "".join(map(texts.__getitem__, ids.tolist()))
-        out = []
-        for i in ids.tolist():
-            text = texts[i]
-            if text and not self.pending:
-                out.append(text)
-            else:
-                out += map(self._byte, self.tokens[i])
-        return "".join(out)
+        values = ids.tolist()
+        found = list(map(texts.__getitem__, values))
+        odd = np.flatnonzero(~self.whole.mask[ids]).tolist()
+        if self.pending:
+            odd.insert(0, 0)
+        # Byte by byte from a token that is not whole characters on, until none is open.
+        end = 0
+        for i in odd:
+            while i >= end and i < len(values):
+                found[i] = "".join(map(self._byte, self.tokens[values[i]]))
+                i = end = i + 1
+                if not self.pending:
+                    break
+        return "".join(found)
 
     def finish(self) -> str:
         out, self.pending, self.machine = "�" * bool(self.pending), b"", Utf8Machine()
