@@ -32,6 +32,7 @@ from sitewatch.llm.treebpe import byte_characters
 from sitewatch.sources.scratch import frozen
 
 BATCH_BYTES = 8 << 20  # text whose links are counted before they are sent
+STRETCH = 1 << 19  # characters whose ids are held as lists
 # The rank library's pattern matcher runs out of stack on longer blanks.
 _long_blank = re.compile(r"\s{5000}").search
 
@@ -133,8 +134,7 @@ class Aligned:
 
 def aligned(sides: Sides, texts: list[str | None]) -> Iterator[Aligned | None]:
     """None for a text without tokens: null, empty, or not the bytes that either side's tokens join to."""
-    known = [t for t in texts if t]
-    found = zip(*sides.encode(known)) if known else iter(())
+    found = _tokens(sides, [t for t in texts if t])
     for text in texts:
         if not text:
             yield None
@@ -145,6 +145,18 @@ def aligned(sides: Sides, texts: list[str | None]) -> Iterator[Aligned | None]:
         yield Aligned(sides, a, b) if joined == (whole, whole) else None
 
 
+def _tokens(sides: Sides, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    """Ids of each text on both sides, asked for a stretch of texts at a time."""
+    start = 0
+    while start < len(texts):
+        end, held = start + 1, len(texts[start])
+        while end < len(texts) and held + len(texts[end]) <= STRETCH:
+            held += len(texts[end])
+            end += 1
+        yield from zip(*sides.encode(texts[start:end]))
+        start = end
+
+
 @lru_cache(maxsize=1)
 def _sides(a: str, b: bytes) -> Sides:
     """One for each Python worker, which keeps its tables from task to task."""
