@@ -123,7 +123,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFram
     Both sides are ``(key, code)`` with ``bits`` bits, a multiple of the segment width. Ties go
     to the smaller key; a query finds its own row if it is among the codes. With fewer than k
     codes all of them are returned. Equal codes are one entry of the index, with its k smallest
-    keys: more of them can never be among the k nearest.
+    keys: more of them can never be among the k nearest. A repeated row counts once; a key with
+    several codes is a neighbour at its distance with each, and as a query takes the least code.
     """
     if bits % SEGMENT_BITS:
         raise ValueError(f"codes need a multiple of {SEGMENT_BITS} bits")
@@ -131,7 +132,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFram
     text = F.concat_ws(",", F.col("code").cast("array<string>"))
     numbered = codes.where("key IS NOT NULL").withColumn("id", text)
     index = frozen(
-        _least(numbered.select("id", "key"), "id", ["key"], k).select(
+        _least(numbered.select("id", "key").distinct(), "id", ["key"], k).select(
             F.split("id", ",").cast("array<long>").alias("code"), F.col("best.key").alias("keys")
         )
     )

@@ -231,14 +231,16 @@ def _ask_grams(docs: pa.Table, buckets: int) -> pa.Table:
     count = np.minimum(count, 255).astype(np.uint8)
     origin = docs.column("group")[0].as_py()
     target = ((gram >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.searchsorted(target, np.arange(buckets + 1))
-    return _table(
-        [
-            (b, origin, 0, _message(gram[edges[b] : edges[b + 1]], count[edges[b] : edges[b + 1]]))
-            for b in range(buckets)
-            if edges[b] < edges[b + 1]
-        ]
-    )
+    return _table([(b, origin, 0, _message(gram[x:y], count[x:y])) for b, x, y in _runs(target)])
+
+
+def _runs(target: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each bucket that occurs in sorted ``target``, and where it begins and ends. However many
+    buckets there are, only those that occur take time."""
+    if not len(target):
+        return
+    first = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+    yield from zip(target[first].tolist(), first.tolist(), [*first[1:].tolist(), len(target)])
 
 
 def _answer_grams(asked: pa.Table, heavy: int) -> pa.Table:
@@ -329,21 +331,14 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, splitters: np.ndarray, buc
     target = np.where(single, (mark % np.uint64(buckets)).astype(np.int64), target)
     origin = docs.column("group")[0].as_py()
     order = np.argsort(target, kind="stable")
-    edges = np.searchsorted(target[order], np.arange(buckets + 1))
     out = []
-    for b in range(buckets):
-        at = order[edges[b] : edges[b + 1]]
-        if len(at):
-            inside = np.arange(WIDTH) < (SPAN - 1 + strings[at])[:, None]
-            out.append(
-                (
-                    b, origin, 0,
-                    _message(
-                        rows[at][inside], strings[at].astype(np.uint8), offset[at].astype(np.uint8),
-                        low[at], high[at],
-                    ),
-                )
-            )
+    for b, x, y in _runs(target[order]):
+        at = order[x:y]
+        inside = np.arange(WIDTH) < (SPAN - 1 + strings[at])[:, None]
+        message = _message(
+            rows[at][inside], strings[at].astype(np.uint8), offset[at].astype(np.uint8), low[at], high[at]
+        )
+        out.append((b, origin, 0, message))
     return _table(out)
 
 

@@ -65,3 +65,13 @@ def test_query_equals_brute_force(spark, folder):
     want = nearest(codes, [c for c in codes if c[0] % 100 == 0], 10)
     got = queries.QUERIES["op7_hamming"](spark, folder).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in got) == want
+
+
+def test_repeated_rows_count_once(spark):
+    """More repeats than neighbours are asked for; keys with two codes; clashing columns."""
+    rows = [(1, [5])] * 6 + [(2, [5]), (3, [7]), (4, [-1]), (4, [6]), (None, [5])]
+    codes = spark.createDataFrame(rows, "key long, code array<long>").selectExpr("*", "1 AS id", "2 AS distance")
+    for k in (1, 2, 3, 4, 9):
+        got = hamming.nearest(codes, codes.where("key = 1"), k, 64).orderBy("rank").collect()
+        want = sorted({(bin((5 ^ c[0]) & (1 << 64) - 1).count("1"), n) for n, c in rows if n is not None})
+        assert [(r["distance"], r["key"]) for r in got] == want[:k]

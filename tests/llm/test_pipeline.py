@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sitewatch.llm import bpe, simhash
 from sitewatch.sources.scratch import frozen
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar import plain_components
 from tests.llm.test_suffixes import brute_force
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,7 +28,7 @@ def stages(spark):
 
 def test_names_and_columns(stages):
     assert [n for n, _, _ in stages] == [
-        "quality rules", "SimHash near-dedup", "suffix-array dedup", "mixing sources", "byte-level BPE",
+        "quality rules", "near-duplicates", "suffix-array dedup", "mixing sources", "byte-level BPE",
     ]
     for _, _, after in stages[:-1]:
         assert list(after.columns) == corpus_pipeline.COLUMNS
@@ -43,9 +43,12 @@ def test_quality_rules_reject_some_and_change_nothing(stages):
 
 
 def test_one_of_each_group_stays(stages):
+    """The smallest key of each component of pairs of similarity 0.8, all pairs compared."""
     _, before, after = stages[1]
-    groups = plain_components([plain_fingerprint(t) for t in before["text"]], list(before["doc_id"]))
-    assert sorted(after["doc_id"]) == sorted(set(groups))
+    rows = list(zip(before["doc_id"], before["text"]))
+    found = plain_components(rows)
+    assert sorted(after["doc_id"]) == sorted({found[k] for k, _ in rows})
+    assert len(after) < len(before)
 
 
 def test_passages_go(stages):

@@ -108,3 +108,10 @@ def test_query_on_the_small_tables(spark, folder):
     }
     got = queries.QUERIES["op2_suffix_dedup"](spark, folder).collect()
     assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
+def test_only_buckets_that_occur_take_time():
+    assert list(suffixes._runs(np.array([], np.int64))) == []
+    assert list(suffixes._runs(np.array([3, 3, 2_000_000, 2_000_001], np.int64))) == [
+        (3, 0, 2), (2_000_000, 2, 3), (2_000_001, 3, 4),
+    ]
