@@ -163,21 +163,18 @@ oracle("dash_crosstab", "watch tw leg", f"""SELECT {_code('operators', 'operator
   FROM watch JOIN (SELECT tower_id, repeat_outage_indicator FROM tw) USING (tower_id)
   GROUP BY operator, network_type, state)""")
 
-# --- fitted models: what must hold whatever the fit
-_TEST = "SELECT row_id, next_period_high_risk AS label, TRUE AS is_probability FROM split WHERE is_test"
+# --- fitted models: what must hold whatever the fit; the results themselves have no SQL
 _MODELS = "('Logistic Regression'), ('Random Forest'), ('Gradient Boosting')"
-for _name in ("ml_logreg", "ml_forest", "ml_gbt"):
-    oracle(_name, "split", _TEST)
-oracle("ml_importance", "split", "SELECT feature, TRUE AS not_negative, 1::DOUBLE AS total FROM (" + " UNION ALL ".join(
+oracle("ml_fit_facts", "split", f"""SELECT m AS model, COUNT(*) AS test_rows,
+  COUNT(*) FILTER (next_period_high_risk = 1) AS positives, COUNT(*) AS probabilities, TRUE AS varies,
+  TRUE AS gradient_below_tolerance, TRUE AS nodes_agree, TRUE AS accuracy_agrees, COUNT(*) AS in_cells
+  FROM split, (VALUES {_MODELS}) t(m) WHERE is_test GROUP BY m""")
+oracle("ml_importance_facts", "split", "SELECT feature, TRUE AS not_negative, 1::DOUBLE AS total FROM (" + " UNION ALL ".join(
     [f"SELECT '{c}' AS feature" for c in NUMERIC]
     + [f"SELECT '{c}_onehot_' || {c} FROM {_SEEN[c]}" for c in _LABELS]) + ")")
 oracle("ml_persist", "split", f"""SELECT m AS model, row_id, 0::DOUBLE AS difference
   FROM split, (VALUES {_MODELS}) t(m) WHERE is_test""")
-oracle("dash_model_metrics", "split", f"""SELECT m AS model, COUNT(*) AS test_rows,
-  COUNT(*) FILTER (next_period_high_risk = 1) AS positives, TRUE AS accuracy_agrees, TRUE AS is_area
-  FROM split, (VALUES {_MODELS}) t(m) WHERE is_test GROUP BY m""")
-oracle("wl_predict", "obs", "SELECT DISTINCT tower_id, TRUE AS band_agrees FROM obs")
-oracle("wl_output", "watch", f"""SELECT tower_id, operator, state, city, network_type, latest_uptime,
+oracle("wl_output_facts", "watch", f"""SELECT tower_id, operator, state, city, network_type, latest_uptime,
   historical_total_downtime_minutes, historical_total_outage_count, {_SCORE}, risk_category_final,
   TRUE AS band_agrees, TRUE AS is_place FROM watch""")
 oracle("sink_dashboard_json", "tw leg split", f"""SELECT """ + ", ".join(

@@ -199,6 +199,27 @@ def evaluate(model: PipelineModel, test: DataFrame, name: str) -> DataFrame:
     )
 
 
+def gradient_norm(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """One row ``(rows, gradient)``: how far a fitted logistic regression is from its optimum.
+
+    ``gradient`` is the largest absolute entry of the gradient of the penalised objective, a row's
+    share of it, at the fitted weights; zero only at the optimum. One aggregate: rows are
+    turned to one partial sum a feature before the shuffle.
+    """
+    weighted, _ = _with_weights(train)
+    fitted = model.stages[-1]
+    # The intercept is the weight of a last feature that is always one, and has no penalty.
+    penalty = F.lit([*fitted.coefficients.toArray().tolist(), 0.0])
+    off = F.col(WEIGHT) * (vector_to_array("probability")[1] - F.col(LABEL))
+    entries = model.transform(weighted).select(
+        off.alias("off"), F.posexplode(F.array_append(vector_to_array("features"), F.lit(1.0))).alias("i", "x")
+    )
+    sums = entries.groupBy("i").agg(F.sum(F.col("off") * F.col("x")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return sums.agg(
+        F.max("n").alias("rows"), F.max(F.abs(F.col("s") + F.get(penalty, F.col("i"))) / F.col("n")).alias("gradient")
+    )
+
+
 def feature_names(model: PipelineModel, rows: DataFrame) -> list[str]:
     """Names behind the positions of the feature vector, from the column's metadata."""
     metadata = model.transform(rows.limit(0)).schema["features"].metadata["ml_attr"]

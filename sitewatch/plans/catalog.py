@@ -18,6 +18,7 @@ from sitewatch.operators import (
     features,
     history,
     model,
+    nodes,
     profile,
     quality,
     risk,
@@ -750,8 +751,7 @@ def _fitted(name: str, fit, config: model.ModelConfig = model.DEFAULTS) -> None:
     def run(spark, folder):
         train, test = stages.train_and_test(obs(spark, folder))
         return model.predict(fit(train, config), test).select(
-            "row_id", F.col(model.LABEL).alias("label"),
-            F.col(model.PROBABILITY).between(0, 1).alias("is_probability"))
+            "row_id", F.col(model.LABEL).alias("label"), F.col(model.PROBABILITY).alias("probability"))
 
     query(name)(run)
 
@@ -761,8 +761,68 @@ _fitted("ml_forest", model.fit_forest)
 _fitted("ml_gbt", model.fit_boosting)
 
 
+@query("ml_nodes")
+def ml_nodes(spark, folder):
+    train, _ = stages.train_and_test(obs(spark, folder))
+    forest = nodes.tree_nodes(model.fit_forest(train), "Random Forest", train)
+    return forest.unionByName(nodes.tree_nodes(model.fit_boosting(train), "Gradient Boosting", train))
+
+
+def _optimal(name, fitted, train):
+    """Whether a logistic regression is at its optimum, in one row; other models have none."""
+    if name != "Logistic Regression":
+        return train.sparkSession.range(1).select(F.lit(True).alias("gradient_below_tolerance"))
+    return model.gradient_norm(fitted, train).select(
+        (F.col("gradient") < 1e-5).alias("gradient_below_tolerance"))
+
+
+def _nodes_agree(name, fitted, test, scored):
+    """Whether the exported trees, joined level by level, give the model's probabilities."""
+    if name == "Logistic Regression":
+        return test.sparkSession.range(1).select(F.lit(True).alias("nodes_agree"))
+    config, boosted = model.DEFAULTS, name == "Gradient Boosting"
+    table = scratch.frozen(nodes.tree_nodes(fitted, name, test))
+    again = nodes.score_nodes(
+        table, fitted.transform(test), "row_id", "features",
+        config.stage_depth if boosted else config.tree_depth, boosted)
+    both = scored.join(again.withColumnRenamed("p", "again"), "row_id", "left")
+    off = F.abs(F.col("p") - F.coalesce("again", F.lit(9.0)))
+    return both.agg((F.coalesce(F.max(off), F.lit(0.0)) < 1e-9).alias("nodes_agree"))
+
+
+@query("ml_fit_facts")
+def ml_fit_facts(spark, folder):
+    """What a fit must satisfy that SQL can check: one row per model."""
+    train, test = stages.train_and_test(obs(spark, folder))
+    result = None
+    for name, fitted in model.fit_models(train).items():
+        scored = scratch.frozen(model.predict(fitted, test).select("row_id", model.PROBABILITY, model.LABEL))
+        p = F.col(model.PROBABILITY)
+        counted = scored.agg(
+            F.count(F.lit(1)).alias("test_rows"), F.count_if(F.col(model.LABEL) == 1).alias("positives"),
+            F.count_if(p.between(0, 1)).alias("probabilities"), (F.min(p) < F.max(p)).alias("varies"))
+        # The figures of the report, against a plain count.
+        report = model.evaluate(fitted, test, name)
+        plain = scored.agg(F.avg(((p > 0.5).cast("int") == F.col(model.LABEL)).cast("double")).alias("right"))
+        row = (
+            counted.crossJoin(F.broadcast(_optimal(name, fitted, train)))
+            .crossJoin(F.broadcast(_nodes_agree(name, fitted, test, scored)))
+            .crossJoin(F.broadcast(report.crossJoin(F.broadcast(plain)).select(
+                "model", (F.abs(F.col("accuracy") - F.col("right")) < 1e-9).alias("accuracy_agrees"),
+                (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("in_cells"))))
+        )
+        result = row if result is None else result.unionByName(row)
+    return result
+
+
 @query("ml_importance")
 def ml_importance(spark, folder):
+    train, _ = stages.train_and_test(obs(spark, folder))
+    return model.importance(model.fit_forest(train), train)
+
+
+@query("ml_importance_facts")
+def ml_importance_facts(spark, folder):
     train, _ = stages.train_and_test(obs(spark, folder))
     weights = model.importances(model.fit_forest(train), train)
     total = weights.agg(F.round(F.sum("importance"), 6).alias("total"))  # one row
@@ -793,12 +853,7 @@ def dash_model_metrics(spark, folder):
     for name, fitted in model.fit_models(train).items():
         row = model.evaluate(fitted, test, name)
         result = row if result is None else result.unionByName(row)
-    cells = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    right = (F.col("tn") + F.col("tp")) / cells
-    return result.select(
-        "model", cells.alias("test_rows"), (F.col("fn") + F.col("tp")).alias("positives"),
-        (F.abs(F.col("accuracy") - right) < 1e-9).alias("accuracy_agrees"),
-        F.col("roc_auc").between(0, 1).alias("is_area"))
+    return result
 
 
 on("score_rates", obs_and_unknown, lambda df: rounded(
@@ -842,11 +897,18 @@ def wl_predict(spark, folder):
     rows = obs(spark, folder)
     train, _ = stages.train_and_test(rows)
     return stages.predictions(model.fit_logistic(train), history.full_history(rows)).select(
-        "tower_id", _band_agrees())
+        "tower_id", watchlist.PROBABILITY, "predicted_risk_category")
 
 
 @query("wl_output")
 def wl_output(spark, folder):
+    rows = obs(spark, folder)
+    train, _ = stages.train_and_test(rows)
+    return stages.watch_table(model.fit_logistic(train), rows)
+
+
+@query("wl_output_facts")
+def wl_output_facts(spark, folder):
     rows = obs(spark, folder)
     train, _ = stages.train_and_test(rows)
     listed = scratch.frozen(stages.watch_table(model.fit_logistic(train), rows))
@@ -975,7 +1037,5 @@ def st_daily(spark, folder):
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     table = scratch.scratch_path(spark, "daily")
-    query_ = daily.write_daily_trend(
-        source.from_events(stream), table, scratch.scratch_path(spark, "daily-state"))
-    query_.awaitTermination()
-    return daily.read_daily_trend(spark, table)
+    daily.follow_daily_trend(source.from_events(stream), table, scratch.scratch_path(spark, "daily-state"))
+    return daily.read_daily_trend(spark, table).drop("closed")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from sitewatch.operators import history, model
+from sitewatch.operators import evaluate, history, model, nodes
 from sitewatch.plans import stages
 from sitewatch.sources import scratch
 from sitewatch.sources.observations import observations
@@ -100,3 +100,60 @@ def test_predictions_cover_every_tower(spark, folder, logistic):
     predicted = stages.predictions(logistic, history.full_history(rows))
     assert predicted.count() == rows.select("tower_id").distinct().count()
     assert predicted.where("predicted_risk_probability IS NULL").count() == 0
+
+
+def test_gradient_tells_a_fit_from_none(sides, logistic):
+    train, _ = sides
+    row = model.gradient_norm(logistic, train).first()
+    assert row["rows"] == train.count() and row["gradient"] < 1e-5
+    stopped = model.fit_logistic(train, model.ModelConfig(iterations=1))
+    assert model.gradient_norm(stopped, train).first()["gradient"] > 1e-4
+    constant = model.fit_logistic(train, model.ModelConfig(iterations=0))
+    assert model.gradient_norm(constant, train).first()["gradient"] > 1e-3
+
+
+def plain_score(table, x, boosted):
+    """The probability of one feature vector, down the exported nodes in plain Python."""
+    total = weights = 0.0
+    for tree in {t for t, _ in table}:
+        node = table[tree, 0]
+        while node["left"] is not None:
+            value = x[node["position"]]
+            left = value in node["values"] if node["values"] is not None else value <= node["threshold"]
+            node = table[tree, node["left"] if left else node["right"]]
+        total += node["weight"] * node["value"]
+        weights += node["weight"]
+    return 1 / (1 + np.exp(-2 * total)) if boosted else total / weights
+
+
+@pytest.mark.parametrize("boosted", [False, True])
+def test_exported_nodes_score_like_the_model(sides, boosted, monkeypatch):
+    train, test = sides
+    fitted = (model.fit_boosting if boosted else model.fit_forest)(train, CONFIG)
+    table = scratch.frozen(nodes.tree_nodes(fitted, "m", train))
+    assert table.where("threshold IS NOT NULL").count() and table.where("values IS NOT NULL").count()
+    assert table.where("left IS NULL AND feature IS NOT NULL").count() == 0
+    by_place = {(r["tree"], r["node"]): r for r in table.collect()}
+    coded = fitted.transform(test)
+    depth = CONFIG.stage_depth if boosted else CONFIG.tree_depth
+    joined = dict(nodes.score_nodes(table, coded, "row_id", "features", depth, boosted).collect())
+    monkeypatch.setattr(nodes, "SENT_ROWS", 0)
+    shuffled = dict(nodes.score_nodes(table, coded, "row_id", "features", depth, boosted).collect())
+    found = coded.select("row_id", "features", "probability").collect()
+    assert len(joined) == len(shuffled) == len(found)
+    for r in found:
+        p = r["probability"][1]
+        assert joined[r["row_id"]] == pytest.approx(p, abs=1e-9)
+        assert shuffled[r["row_id"]] == pytest.approx(p, abs=1e-9)
+        assert plain_score(by_place, r["features"].toArray(), boosted) == pytest.approx(p, abs=1e-9)
+
+
+def test_models_beat_a_constant_where_there_is_signal(sides):
+    """Labels that follow one feature: every model's area is far above a constant's half."""
+    train, test = (
+        s.withColumn(model.LABEL, (F.col("hist_avg_uptime") < 96).cast(s.schema[model.LABEL].dataType)) for s in sides
+    )
+    train, test = scratch.frozen(train), scratch.frozen(test)
+    for fit in model.FITTERS.values():
+        scored = model.predict(fit(train, CONFIG), test).select(F.col(model.LABEL).alias("label"), "p")
+        assert evaluate.roc_auc(scored).first()[0] > 0.9
