@@ -21,11 +21,9 @@ from sitewatch.llm.arrow import require
 from sitewatch.operators.ordering import global_position
 from sitewatch.sources.scratch import frozen
 
-# Words left to the dynamic programming; what exceeds them is taken largest sizes first.
-EXACT_WORDS = 1 << 16
-# Of the words that whole passes leave, one in so many is left to the dynamic programming at most,
-# but never less than two of the longest documents.
-EVENLY = 16
+# Of the words that whole passes leave, one in so many is left to the dynamic programming, but at
+# most so many words, and never less than two of the longest documents.
+EVENLY, REST_WORDS = 16, 1 << 15
 
 
 def word_count(text: str) -> Column:
@@ -71,26 +69,23 @@ def exact_subset(
 ) -> list[int]:
     """How many of each size to take, at most ``free`` of each, so that they sum to ``budget``.
 
-    If no choice does, the sum is the largest one below. What exceeds ``EXACT_WORDS`` is taken
-    longest sizes first, the others in ``order`` (places of the sizes), longest first without it. Bit s of ``reached`` says that some
-    choice among the items so far sums to s; every sum remembers the item that first reached it.
+    If no choice does, the sum is the largest one below. Sizes come in ``order`` (places of the
+    sizes), longest first without it. Bit s of ``reached`` says that some choice among the items
+    so far sums to s; every sum remembers the item that first reached it. Memory is a few bytes
+    for each word of the budget.
     """
     taken = [0] * len(sizes)
     longest = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    for i in longest:
-        if budget > EXACT_WORDS and sizes[i]:
-            taken[i] = min(free[i], (budget - EXACT_WORDS) // sizes[i])
-            budget -= taken[i] * sizes[i]
     items = []  # sizes with halving multiplicities: any number up to the free one is a sum of them
     for i in longest if order is None else order:
-        left = min(free[i] - taken[i], budget // sizes[i] if sizes[i] else 0)
+        left = min(free[i], budget // sizes[i] if sizes[i] else 0)
         step = 1
         while left > 0:
             items.append((i, min(step, left)))
             left -= min(step, left)
             step *= 2
     reached, mask = 1, (1 << (budget + 1)) - 1
-    first = np.full(budget + 1, -1, np.int64)
+    first = np.full(budget + 1, -1, np.int32)
     for number, (i, times) in enumerate(items):
         new = (reached << (sizes[i] * times)) & mask & ~reached
         if new:
@@ -128,7 +123,7 @@ def plan_source(counts: pd.DataFrame, ceiling: float, seed: int = 7) -> pd.DataF
     passes, rest = divmod(budget, total) if total else (0, 0)
     name = counts["source"].iloc[0] if "source" in counts else None
     rng = np.random.default_rng([seed, zlib.crc32(name.encode()) if isinstance(name, str) else 0])
-    words = max(0, rest - max(2 * size[-1], min(EXACT_WORDS // 2, rest // EVENLY)))
+    words = max(0, rest - max(2 * size[-1], min(REST_WORDS, rest // EVENLY)))
     base = even_draw(n, words, total, int(rng.integers(total))) if words else [0] * len(n)
     left = rest - sum(b * s for b, s in zip(base, size))
     # A document may be picked once more than others, as long as it stays below the ceiling.

@@ -132,3 +132,17 @@ def test_a_long_document_and_seeds():
     small = {s: 2 for s in range(5, 60)}
     one, again, other = (planned(small, 0.5, seed=s)[0].tolist() for s in (1, 1, 2))
     assert one == again != other
+
+
+def test_a_very_long_document_switches_nothing():
+    """The rest is two of the longest documents and more; still it is met by a seeded choice."""
+    rng = np.random.default_rng(3)
+    sizes = np.unique(np.append(rng.integers(1, 2000, 500), 43_000))
+    counts = pd.DataFrame({"size": sizes, "n": 2, "first": 1})
+    total = int(2 * sizes.sum())
+    counts = counts.assign(source="s", source_size=total, target=0.6 * total)
+    plan = mixture.plan_source(counts, 2)
+    assert (plan["picks"] * plan["size"]).sum() == round(0.6 * total)
+    short = plan[plan["size"] < 2000]
+    low, high = short[short["size"] < 1000]["picks"].mean(), short[short["size"] >= 1000]["picks"].mean()
+    assert abs(low - high) < 0.25  # how long a document is decides nothing
