@@ -3,11 +3,12 @@
 Every observation but an entity's first becomes one example: features over the strictly
 earlier rows of the entity, in (day, row) order, and the row's own risk flag as the target.
 
-The rows are range-sorted over all tasks by (entity, day, row) and written once, so every task
-holds one stretch of the order. Most entities lie within a stretch; one window gives all their
-features. An entity that crosses into the next stretch is cut there: what precedes a row is what
-its entity's earlier stretches hold, plus what precedes it within its own. There is at most one
-such entity for each border between stretches, and no task ever holds more of an entity than a
+An entity's rows meet in one task, and one window gives its features: one shuffle. Only entities
+with more rows than a task should sort go another way. Their rows are range-sorted over all
+tasks by (entity, day, row) and written once, so every task holds one stretch of the order. An
+entity that crosses into the next stretch is cut there: what precedes a row is what its
+entity's earlier stretches hold, plus what precedes it within its own. There is at most one such
+entity for each border between stretches, and no task ever holds more of an entity than a
 stretch, however many rows the entity has.
 """
 
@@ -33,6 +34,10 @@ NUMERIC_FEATURES = (
 )
 
 
+# Rows of an entity that one task sorts and holds frames of.
+HOT_ROWS = 1_000_000
+
+
 def label_features(roles: Roles = TOWERS) -> tuple[str, ...]:
     return (*[f"hist_mode_{c}" for c in roles.labels], "hist_city")
 
@@ -53,16 +58,18 @@ def _inputs(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def history_features(
-    df: DataFrame, roles: Roles = TOWERS, latest_only: bool = False
+    df: DataFrame, roles: Roles = TOWERS, latest_only: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Examples of all entities; ``latest_only`` keeps each entity's last one."""
-    order = [F.col(c) for c in (roles.entity, roles.day, roles.row)]
-    rows = sorted_chunks(_inputs(df, roles), order)
-    across = crossing_entities(rows, roles)
-    # One row per border at most.
-    inside = rows.join(F.broadcast(across), roles.entity, "left_anti")
-    cut = rows.join(F.broadcast(across), roles.entity, "left_semi")
-    examples = history_by_window(inside, roles).unionByName(history_by_chunks(cut, roles))
+    """Examples of all entities; ``latest_only`` keeps each entity's last one.
+
+    Entities of over ``hot_rows`` rows take another way to the same examples.
+    """
+    rows = _inputs(df, roles)
+    hot = frozen(hot_entities(rows, hot_rows, roles))
+    examples = history_by_window(rows.join(hot, roles.entity, "left_anti"), roles)
+    if not hot.isEmpty():  # without any, theirs are no examples: leave the empty steps out
+        theirs = rows.join(hot, roles.entity, "left_semi")
+        examples = examples.unionByName(_history_of_hot(theirs, roles))
     if latest_only:
         last = examples.groupBy(roles.entity).agg(
             F.max(F.struct("target_date", roles.row, *_rest(examples, roles))).alias("e")
@@ -71,6 +78,28 @@ def history_features(
     return examples
 
 
+def hot_entities(rows: DataFrame, most: int, roles: Roles = TOWERS) -> DataFrame:
+    """Entities with more than ``most`` rows: at most one for so many rows of the table.
+
+    Rows are counted before the shuffle, so the hottest entity is a row a task.
+    """
+    counts = rows.groupBy(roles.entity).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > most).select(roles.entity)
+
+
+def _history_of_hot(rows: DataFrame, roles: Roles) -> DataFrame:
+    """Examples of entities of any number of rows.
+
+    Most of a stretch's entities may still end within it; only those that cross need more.
+    """
+    chunks = sorted_chunks(rows, [F.col(c) for c in (roles.entity, roles.day, roles.row)])
+    across = crossing_entities(chunks, roles)
+    # One row per border at most.
+    inside = chunks.join(F.broadcast(across), roles.entity, "left_anti").drop("_chunk", "_slot")
+    cut = chunks.join(F.broadcast(across), roles.entity, "left_semi")
+    return history_by_window(inside, roles).unionByName(history_by_chunks(cut, roles))
+
+
 def crossing_entities(chunks: DataFrame, roles: Roles = TOWERS) -> DataFrame:
     """Entities whose rows end one chunk and begin the next: one row per border at most."""
     ends = chunks.groupBy("_chunk").agg(

@@ -114,3 +114,18 @@ def test_split_keeps_whole_days_together(spark):
     assert sum(r["is_test"] for r in split) == 2
     # Positional definition: the date at floor(0.8 n).
     assert sorted(days)[int(len(days) * 0.8)] == date(2025, 9, 4)
+
+
+def test_both_ways_give_the_same_examples(spark, folder):
+    rows = observations(spark, folder)
+    wanted = history.history_by_window(rows)
+    for most in (0, 3, 5, 1_000_000):
+        assert same_rows(wanted, history.history_features(rows, hot_rows=most))
+    assert history.hot_entities(rows, 1_000_000).count() == 0
+    assert history.hot_entities(rows, 0).count() == rows.select("tower_id").distinct().count()
+
+
+def test_the_window_is_the_only_shuffle_of_rows(spark, folder):
+    """The counts and the hot entities are small; rows themselves are exchanged once."""
+    text = history.history_by_window(observations(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in text
