@@ -176,6 +176,8 @@ _WIDE = """SELECT '{c}' AS measure, k::INT AS bin, (SELECT COUNT(*) FROM obs
 _WHOLE = """SELECT '{c}' AS measure, (v - (SELECT MIN({c}) FROM obs))::INT AS bin,
     (SELECT COUNT(*) FROM obs WHERE {c} = v) AS n
   FROM (SELECT unnest(range((SELECT MIN({c}) FROM obs), (SELECT MAX({c}) FROM obs) + 1)) AS v)"""
+oracle("prof_distinct_sketch", "obs",
+       "SELECT COUNT(DISTINCT tower_id) AS unique_towers, TRUE AS within_bound FROM obs")
 oracle("out_histograms", "obs", " UNION ALL ".join(
     (_WHOLE if c == "outage_count" else _WIDE).format(c=c) for c in MEASURES))
 oracle("out_boxplot", "obs", " UNION ALL ".join(

@@ -35,6 +35,25 @@ def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.agg(F.count_distinct(column).alias(name))
 
 
+# Log2 of a sketch's registers; its estimate is within 3 * 1.04 / sqrt(2 ** bits) of the count,
+# 4.9 %, but for one in some hundred data sets.
+SKETCH_BITS = 12
+
+
+def distinct_sketches(df: DataFrame, by: Sequence[str], column: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """One mergeable sketch of the different values of ``column`` for each group, a few kB at most.
+
+    NULL is no value; a group without values has an empty sketch. Sketches kept by day answer for
+    any range of days without reading the rows again.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(F.col(column), bits).alias("sketch"))
+
+
+def distinct_estimate(sketches: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """About how many different values the united sketches have seen, for each group of ``by``."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(name))
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """Every value as written, NULL included and last."""
     return df.select(column).distinct().orderBy(F.col(column).asc_nulls_last())

@@ -228,6 +228,19 @@ on("prof_rowcount", raw, profile.row_count)
 on("prof_schema", raw, profile.column_overview)
 on("prof_sample", raw, lambda df: profile.first_rows(df, "row_id"))
 on("prof_distinct_entities", raw, lambda df: profile.distinct_count(df, "tower_id", "unique_towers"))
+
+
+@query("prof_distinct_sketch")
+def prof_distinct_sketch(spark, folder):
+    """The exact count, and whether the united sketches of the days are within their bound of it."""
+    rows = obs(spark, folder)
+    sketches = profile.distinct_sketches(rows, ["obs_date"], "tower_id")
+    exact = profile.distinct_count(rows, "tower_id", "unique_towers")
+    near = F.abs(F.col("estimate") - F.col("unique_towers")) <= 0.05 * F.col("unique_towers")
+    return exact.crossJoin(F.broadcast(profile.distinct_estimate(sketches, "estimate"))).select(  # one row each
+        "unique_towers", near.alias("within_bound"))
+
+
 on("prof_distinct_states", raw, lambda df: profile.distinct_count(df, "state", "unique_states"))
 on("prof_distinct_cities", raw, lambda df: profile.distinct_count(df, "city", "unique_cities"))
 on("prof_distinct_operator", raw, lambda df: profile.distinct_values(df, "operator"))
