@@ -7,6 +7,7 @@ the range of each column in a shard is narrow and files can be skipped by any of
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,10 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewatch.llm.arrow import require
-from sitewatch.operators.ordering import global_position
-
-# Bytes of a string that its place among others goes by: as many as a double holds exactly.
-PREFIX = 6
+from sitewatch.operators.ordering import global_position, running_totals
 
 
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -50,15 +48,49 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _is_number(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType))
+
+
 def _place(df: DataFrame, column: str) -> Column:
-    """A number that orders the column's values: itself, or the first bytes of a string."""
+    """What orders the column's values: a double, or a string of any length."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.NumericType):
         return F.col(column).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType)):
+    if _is_number(kind):
         return F.col(column).cast("timestamp").cast("double")
-    first = F.rpad(F.hex(F.encode(F.col(column).cast("string"), "UTF-8")), 2 * PREFIX, "0")
-    return F.conv(first, 16, 10).cast("double")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    return F.col(column).cast("string")
+
+
+def _string_cells(places: DataFrame, bits: int) -> dict[str, tuple[list[bytes], list[int]]]:
+    """For each string column, where its cells begin: the first value of each, and its number.
+
+    Different values are counted before they are sorted over all tasks; a value lies in the cell
+    of the share of rows before it. At most ``2**bits`` values a column reach the driver.
+    """
+    if not places.columns:
+        return {}
+    counts = (
+        places.unpivot([], places.columns, "dimension", "value")
+        .where(F.col("value").isNotNull())
+        .groupBy("dimension", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    counts = running_totals(counts, [F.col("dimension"), F.col("value")], ["n"])
+    spans = counts.groupBy("dimension").agg(F.min("n_before").alias("first"), F.sum("n").alias("total"))
+    cell = F.floor((F.col("n_before") - F.col("first")) * (1 << bits) / F.col("total")).cast("int")
+    begins = (
+        counts.join(F.broadcast(spans), "dimension")  # one row a dimension
+        .groupBy("dimension", cell.alias("cell"))
+        .agg(F.min("value").alias("value"))
+    )
+    found: dict[str, tuple[list[bytes], list[int]]] = {c: ([], []) for c in places.columns}
+    for row in sorted(begins.collect(), key=lambda r: (r["dimension"], r["cell"])):
+        found[row["dimension"]][0].append(row["value"].encode())
+        found[row["dimension"]][1].append(row["cell"])
+    return found
 
 
 def along_curve(
@@ -66,24 +98,34 @@ def along_curve(
 ) -> DataFrame:
     """Adds each row's distance along the curve through its ``dimensions``.
 
-    Every dimension is cut at up to ``2**bits - 1`` different quantiles (approximate, a sketch of
-    bounded size on the driver); a null lies in the lowest cell. Any column can be a dimension.
+    A dimension of numbers or times is cut at up to ``2**bits - 1`` different quantiles
+    (approximate, a sketch of bounded size on the driver). Any other goes by its value as a
+    string, whole, in the order of its bytes, and by the exact number of rows with smaller ones.
+    A null lies in the lowest cell. Any column can be a dimension.
     """
     require(df, *dimensions)
     if not dimensions or bits * len(dimensions) > 62:
         raise ValueError("give at least one dimension and at most 62 bits in all")
     places = df.select(*[_place(df, c).alias(f"p{i}") for i, c in enumerate(dimensions)])
+    numbers = [f"p{i}" for i, c in enumerate(dimensions) if _is_number(df.schema[c].dataType)]
     wanted = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = places.approxQuantile(places.columns, wanted, error)
-    cuts = [np.unique(np.array(c, np.float64)) for c in found]
+    found = places.approxQuantile(numbers, wanted, error) if numbers else []
+    cuts = {c: np.unique(np.array(x, np.float64)) for c, x in zip(numbers, found)}
+    begins = _string_cells(places.drop(*numbers), bits)
+
+    def cells(i: int, values: pd.Series) -> np.ndarray:
+        place = f"p{i}"
+        if place in cuts:
+            v = values.to_numpy(np.float64)
+            return np.where(np.isnan(v), 0, np.searchsorted(cuts[place], v, "right"))
+        codes, different = pd.factorize(values)
+        first, numbered = begins[place]
+        at = [numbered[bisect_right(first, x.encode()) - 1] for x in different]
+        return np.array([*at, 0])[codes]  # a null has code -1
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
-        cells = [
-            np.where(np.isnan(v := c.to_numpy(np.float64)), 0, np.searchsorted(cut, v, "right"))
-            for c, cut in zip(columns, cuts)
-        ]
-        return pd.Series(curve_index(np.stack(cells, axis=1), bits))
+        return pd.Series(curve_index(np.stack([cells(i, c) for i, c in enumerate(columns)], axis=1), bits))
 
     return df.withColumn(name, curve(*[_place(df, c) for c in dimensions]))
 

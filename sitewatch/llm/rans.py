@@ -280,15 +280,20 @@ def write_token_files(
     """Files of the ids of all texts in ascending order of ``key``; lists them with their starts.
 
     Nulls come first, as does an empty text's end id: every row has at least that one. Rows with
-    the same key follow each other by text. Returned are ``file``, ``docs``, ``ids``, and
+    the same key follow each other by a hash of their text, over any number of tasks. Returned are ``file``, ``docs``, ``ids``, and
     ``start``: the ids of all files before. Only these cross the driver's tables.
     """
     require(df, key, text)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = df.sparkSession.sparkContext.broadcast(f.read())  # of fixed size
     number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(number, "key").sortWithinPartitions("key", "text")
+    rows = df.select(
+        F.col(key).cast("long").alias("key"), F.col(text).alias("text"),
+        F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"),
+    )
+    # Rows of one key, and even equal rows, are dealt to several tasks where they are many.
+    order = ("key", "_hash", "_row")
+    ordered = rows.repartitionByRange(number, *order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _word_encoder(definition.value)

@@ -52,3 +52,29 @@ def test_written_shards_come_back(spark, odd_docs, tmp_path):
     sharded = hilbert.shards(odd_docs, ["lang"], ["doc_id"], 3)
     hilbert.write_shards(sharded, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd_docs.count()
+
+
+def plain_cells(values, bits):
+    """The share of rows with a smaller value, in ``2**bits`` steps; a null has none before it."""
+    known = sorted((v.encode() for v in values if v is not None))
+    return [0 if v is None else (known.index(v.encode()) << bits) // len(known) for v in values]
+
+
+def test_strings_are_placed_whole_by_the_rows_before_them(spark):
+    """Values with a long common beginning, ties, a hot value, nulls, against a plain sort."""
+    names = [f"common_beginning_of_all_{i:02d}" for i in range(16)] + ["", "é", None]
+    rows = [(i, names[i * i % 19] if i % 3 else names[4], names[i * 7 % 19]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    cells = np.stack([plain_cells([r[j] for r in rows], 5) for j in (1, 2)], axis=1)
+    assert len(np.unique(cells[:, 1])) > 15
+    wanted = hilbert.curve_index(cells, 5)
+    got = {r["id"]: r["curve"] for r in hilbert.along_curve(df, ["a", "b"], bits=5).collect()}
+    assert [got[i] for i in range(2000)] == wanted.tolist()
+    placed = hilbert.shards(df, ["a", "b"], ["id"], 7, bits=5).orderBy("shard", "slot").collect()
+    assert [r["id"] for r in placed] == sorted(range(2000), key=lambda i: (wanted[i], i))
+
+
+def test_other_kinds_of_dimensions(spark):
+    df = spark.sql("SELECT id, id % 2 = 0 AS flag, unhex(hex(id)) AS raw, date_add(date'2020-01-01', int(id)) AS day FROM range(50)")
+    got = hilbert.shards(df, ["flag", "raw", "day"], ["id"], 5).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [10] * 5
