@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.tables import BAND, oracle
+from oracles.tables import BAND, ORACLES, oracle
 
 NUMERIC = (
     "hist_num_observations", "hist_avg_uptime", "hist_min_uptime", "hist_avg_downtime",
@@ -186,3 +186,5 @@ oracle("sink_dashboard_json", "tw leg split", f"""SELECT """ + ", ".join(
   (SELECT COUNT(*) FROM tw) AS in_categories, (SELECT COUNT(*) FROM tw) AS in_crosstab,
   'Gradient Boosting,Logistic Regression,Random Forest' AS models,
   (SELECT 3 * COUNT(*) FROM split WHERE is_test)::BIGINT AS in_confusion, 10 AS features""")
+oracle("sink_dashboard_legends", "leg", "SELECT dimension, code, value FROM leg")
+ORACLES["sink_dashboard_crosstab"] = ORACLES["dash_crosstab"]

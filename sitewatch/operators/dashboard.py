@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.functions.bands import PROBABILITY_LEVELS, RISK_LEVELS
@@ -14,9 +14,8 @@ from sitewatch.roles import TOWERS, Roles
 from sitewatch.sources.scratch import frozen
 
 NO_REASON = "None"
-# Entries of a dimension, and label combinations, that the document lists at most. The tables
-# beside it have all of them.
-LISTED = 10_000
+# Entries of a dimension, or label combinations, in one chunk.
+CHUNK_ROWS = 10_000
 
 # A dictionary table for each dimension: code and value.
 Dictionary = Mapping[str, DataFrame]
@@ -209,35 +208,59 @@ def columnar(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     return rows.select(F.struct(*arrays).alias(name))
 
 
+def document_parts(dictionary: Dictionary, cross: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
+    """Every entry of the dictionaries and every row of the crosstab, in chunks of ``size``.
+
+    ``part`` is a dimension or "crosstab"; chunk ``k`` has the codes, or the places in the order of
+    the codes, from ``k * size``. Entries are in ``entries``, crosstab rows are parallel arrays in
+    ``crosstab``. A group is a chunk, so parts of any length are made by all tasks.
+    """
+    tables = [t.select(F.lit(name).alias("part"), "code", "value") for name, t in dictionary.items()]
+    entries = (
+        reduce(DataFrame.unionByName, tables)
+        .groupBy("part", F.expr(f"code div {size}").alias("chunk"))
+        .agg(F.sort_array(F.collect_list(F.struct("code", "value"))).alias("rows"))
+        .select("part", "chunk", F.col("rows").getField("value").alias("entries"))
+    )
+    # Nulls first among the codes; label combinations, and so these orders, have no ties.
+    placed = global_position(cross, [F.col(c) for c in ("op", "nt", "st")], "_place")
+    rows = placed.groupBy(F.expr(f"(_place - 1) div {size}").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("_place", *cross.columns))).alias("rows")
+    )
+    arrays = [F.col("rows").getField(c).alias(c) for c in cross.columns]
+    chunks = rows.select(F.lit("crosstab").alias("part"), "chunk", F.struct(*arrays).alias("crosstab"))
+    return entries.unionByName(chunks, allowMissingColumns=True)
+
+
 def document(
-    dictionary: Dictionary,
+    parts: DataFrame,
     board: DataFrame,
     stats: DataFrame,
     top: DataFrame,
     top_stats: DataFrame,
-    cross: DataFrame,
     importances: DataFrame,
     model_metrics: DataFrame,
+    size: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """One row with everything a dashboard loads at once.
+    """One row with everything a dashboard loads first.
 
-    Only capped tables are gathered: of dictionaries the first ``LISTED`` entries, of label
-    combinations the ``LISTED`` largest. Dictionaries, crosstab and the observation cube are
-    written whole as tables of their own.
+    ``parts`` are those of ``document_parts``, written. The document holds the first chunk of each
+    and tells in ``chunks`` how many there are; ``later_parts`` are written beside it, so
+    the two hold every entry. Other tables are capped ones, whole.
     """
-    entries = [
-        table.where(F.col("code") < LISTED).select(F.lit(name).alias("dimension"), "code", "value")
-        for name, table in dictionary.items()
-    ]
-    by_dimension = (
-        reduce(DataFrame.unionByName, entries)
-        .groupBy("dimension")
-        .agg(F.sort_array(F.collect_list(F.struct("code", "value"))).alias("entries"))
+    first = parts.where("chunk = 0")
+    legend = first.where("part <> 'crosstab'").agg(
+        F.map_from_entries(F.collect_list(F.struct("part", "entries"))).alias("legends")
+    )
+    fields = parts.schema["crosstab"].dataType.fields
+    none = F.struct(*[F.array().cast(f.dataType).alias(f.name) for f in fields])
+    cross = first.where("part = 'crosstab'").agg(
+        F.coalesce(F.first("crosstab"), none).alias("crosstab")
     )
-    legend = by_dimension.agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("dimension", F.transform("entries", lambda e: e["value"])))
-        ).alias("legends")
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a part
+    chunks = counts.agg(
+        F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("chunks"),
+        F.lit(size).alias("chunk_rows"),
     )
     cells = ("tn", "fp", "fn", "tp")
     figures = [
@@ -256,9 +279,8 @@ def document(
         top_stats.select(
             F.struct(*totals, per_category.alias("risk_category_counts")).alias("wl_stats")
         ),
-        columnar(
-            cross.orderBy(F.desc("n"), "op", "nt", "st").limit(LISTED), "crosstab", ["op", "nt", "st"]
-        ),
+        cross,
+        chunks,
         importances.agg(
             F.collect_list(F.struct("feature", "importance")).alias("feat_importance")
         ),
@@ -274,6 +296,49 @@ def document(
     return result
 
 
+def later_parts(parts: DataFrame) -> DataFrame:
+    """The chunks that are not in the document."""
+    return parts.where("chunk > 0")
+
+
+_ENTRIES = "part string, chunk bigint, entries array<string>"
+
+
+def _read(
+    spark: SparkSession, path: str, later: str, inside: str, schema: str
+) -> tuple[DataFrame, DataFrame]:
+    """The document at ``path``, as far as ``inside`` names it, and the parts beside it."""
+    found = spark.read.schema(f"chunk_rows bigint, {inside}").json(path)
+    beside = spark.read.schema(schema).json(later)
+    size = F.broadcast(found.select("chunk_rows"))  # one row
+    return found, beside.crossJoin(size)
+
+
+def read_legends(spark: SparkSession, path: str, later: str) -> DataFrame:
+    """``(dimension, code, value)`` of a written document and the parts beside it."""
+    found, beside = _read(spark, path, later, "legends map<string, array<string>>", _ENTRIES)
+    first = found.select(F.explode("legends").alias("part", "entries"), F.lit(0).alias("chunk"), "chunk_rows")
+    return (
+        first.unionByName(beside.where("part <> 'crosstab'"))
+        .select("part", "chunk", "chunk_rows", F.posexplode("entries").alias("at", "value"))
+        .select(
+            F.col("part").alias("dimension"),
+            (F.col("chunk") * F.col("chunk_rows") + F.col("at")).cast("int").alias("code"),
+            "value",
+        )
+    )
+
+
+def read_crosstab(spark: SparkSession, path: str, later: str, columns: Mapping[str, str]) -> DataFrame:
+    """Crosstab rows of a written document and the parts beside it; ``columns`` gives their types."""
+    arrays = ", ".join(f"{c}: array<{kind}>" for c, kind in columns.items())
+    inside = f"crosstab struct<{arrays}>"
+    found, beside = _read(spark, path, later, inside, f"part string, {inside}")
+    every = found.select("crosstab").union(beside.where("part = 'crosstab'").select("crosstab"))
+    zipped = F.arrays_zip(*[F.col("crosstab").getField(c).alias(c) for c in columns])
+    return every.select(F.inline(zipped)).toDF(*columns)
+
+
 def materialised_legends(df: DataFrame, roles: Roles = TOWERS) -> Dictionary:
     """Every dimension's dictionary written once; an encoding then reads its entries only."""
     found = frozen(legends(df, roles))

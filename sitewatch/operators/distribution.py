@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sitewatch.functions.numeric import mean, pearson
 from sitewatch.operators.quantiles import exact_quantiles
 
+# Bins that a task makes in a row.
+BIN_RUN = 1 << 16
+
 
 def _typed(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
     return df.select(*[c.cast("double").alias(name) for name, c in measures.items()])
@@ -100,13 +103,14 @@ def bucket_counts(
     )
 
 
-def histograms(df: DataFrame, bins: dict[str, int | None]) -> DataFrame:
-    """Every bin of every measure, empty ones too.
+def histograms(df: DataFrame, bins: dict[str, int | None], empty: bool = True) -> DataFrame:
+    """Every bin of every measure, empty ones too unless ``empty`` is false.
 
     ``bins`` gives the number of equal-width bins between the measure's own minimum and maximum,
     the last one closed, or None for whole numbers: one bin for each from minimum to maximum.
     All measures share one scan for the ranges and one for the counts; rows are counted before
-    the shuffle, so at most one row per bin travels.
+    the shuffle, so at most one row per bin travels. Empty bins, of which a single far value can
+    make very many, are made by all tasks in runs of ``BIN_RUN``.
     """
     columns = list(bins)
     typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -122,7 +126,9 @@ def histograms(df: DataFrame, bins: dict[str, int | None]) -> DataFrame:
         .groupBy("measure", "bin")
         .agg(F.count(F.lit(1)).alias("found"))
     )
-    every = ranges.select(
+    if not empty:
+        return counts.select("measure", "bin", F.col("found").alias("n"))
+    lasts = ranges.select(
         F.inline(
             F.array(
                 *[
@@ -131,7 +137,13 @@ def histograms(df: DataFrame, bins: dict[str, int | None]) -> DataFrame:
                 ]
             )
         )
-    ).select("measure", F.explode(F.sequence(F.lit(0), "last")).alias("bin"))
+    )
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), "last", F.lit(BIN_RUN).cast("bigint")))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A fixed number of tasks: by their few bytes the runs would be put into one.
+    runs = lasts.select("measure", "last", start.alias("start")).repartition(tasks, "measure", "start")
+    stop = F.least(F.col("last"), F.col("start") + (BIN_RUN - 1))
+    every = runs.select("measure", F.explode(F.sequence("start", stop)).alias("bin"))
     return every.join(counts, ["measure", "bin"], "left").select(
         "measure", "bin", F.coalesce("found", F.lit(0)).cast("bigint").alias("n")
     )
@@ -140,18 +152,18 @@ def histograms(df: DataFrame, bins: dict[str, int | None]) -> DataFrame:
 def _last_bin(limits: Column, bins: int | None) -> Column:
     """Number of the last bin; NULL, so no bins, for a measure without values."""
     if bins is None:
-        return (F.floor(limits["hi"]) - F.floor(limits["lo"])).cast("int")
-    return F.when(limits["lo"].isNotNull(), F.lit(bins - 1))
+        return (F.floor(limits["hi"]) - F.floor(limits["lo"])).cast("bigint")
+    return F.when(limits["lo"].isNotNull(), F.lit(bins - 1).cast("bigint"))
 
 
 def _bin(value: Column, limits: Column, bins: int | None) -> Column:
     if bins is None:
-        return (F.floor(value) - F.floor(limits["lo"])).cast("int")
+        return (F.floor(value) - F.floor(limits["lo"])).cast("bigint")
     width = (limits["hi"] - limits["lo"]) / bins
     index = F.floor(F.try_divide(value - limits["lo"], width))
     # A measure without spread has all its rows in the first bin.
     index = F.when(limits["hi"] == limits["lo"], F.lit(0)).otherwise(index)
-    return F.least(index, F.lit(bins - 1)).cast("int")
+    return F.least(index, F.lit(bins - 1)).cast("bigint")
 
 
 def value_tail(

@@ -53,17 +53,20 @@ def build_outputs(folder: str, spark: SparkSession, roles: Roles = TOWERS) -> No
         write_parquet(table, f"{folder}/legends/{name}")
     write_parquet(dashboard.observation_cube(rows, dictionary, roles), f"{folder}/cube")
     write_parquet(dashboard.crosstab(watch, summary, dictionary, roles), f"{folder}/crosstab")
+    cross = spark.read.parquet(f"{folder}/crosstab")
+    write_parquet(dashboard.document_parts(dictionary, cross), f"{folder}/dashboard_chunks")
+    parts = spark.read.parquet(f"{folder}/dashboard_chunks")
     document = dashboard.document(
-        dictionary,
+        parts,
         dashboard.tower_table(dashboard.leaderboard(summary, roles=roles), dictionary, roles),
         dashboard.tower_stats(summary),
         dashboard.watch_top(watch, dictionary),
         dashboard.watch_stats(watch),
-        spark.read.parquet(f"{folder}/crosstab"),
         model.importance(forest, spark.read.parquet(f"{folder}/examples")),
         metrics,
     )
     write_json_document(document, f"{folder}/dashboard")
+    write_json_document(dashboard.later_parts(parts), f"{folder}/dashboard_parts")
     write_csv(spark.read.parquet(f"{folder}/clean"), f"{folder}/csv/clean")
     write_csv(rows.select(*features.EXPORT_COLUMNS), f"{folder}/csv/features", [roles.row])
     write_csv(summary, f"{folder}/csv/summary")

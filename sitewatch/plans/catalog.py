@@ -422,7 +422,7 @@ on("out_value_counts", feat, lambda df: profile.value_counts(
 on("out_histograms", obs, lambda df: distribution.histograms(
     df,
     {"uptime_percentage": 30, "downtime_minutes": 30, "avg_users_affected": 30,
-     "outage_count": None}))
+     "outage_count": None}).withColumn("bin", F.col("bin").cast("int")))
 on("out_boxplot", obs, lambda df: rounded(
     distribution.boxplot(df, TOWERS.measures), 6,
     "whisker_low", "q1", "median", "q3", "whisker_high"))
@@ -1008,13 +1008,13 @@ def sink_dashboard_json(spark, folder):
     for name, fitted in models.items():
         row = model.evaluate(fitted, test, name)
         metrics = row if metrics is None else metrics.unionByName(row)
+    parts = scratch.frozen(dashboard.document_parts(codes, dashboard.crosstab(watch, towers, codes)))
     document = dashboard.document(
-        codes,
+        parts,
         dashboard.tower_table(dashboard.leaderboard(towers), codes),
         dashboard.tower_stats(towers),
         dashboard.watch_top(watch, codes),
         dashboard.watch_stats(watch),
-        dashboard.crosstab(watch, towers, codes),
         model.importance(forest, train),
         metrics,
     )
@@ -1038,6 +1038,39 @@ def sink_dashboard_json(spark, folder):
         F.size("feat_importance").alias("features"))
 
 
+def _written_dashboard(spark, folder):
+    """Paths of a document of the stand-in watchlist, without model parts, and of its later chunks."""
+    towers = scratch.frozen(summary(spark, folder))
+    watch = scratch.frozen(stand_in_watchlist(spark, folder))
+    codes = dictionary(spark, folder)
+    cross = dashboard.crosstab(watch, towers, codes)
+    parts = scratch.frozen(dashboard.document_parts(codes, cross))
+    document = dashboard.document(
+        parts,
+        dashboard.tower_table(dashboard.leaderboard(towers), codes),
+        dashboard.tower_stats(towers),
+        dashboard.watch_top(watch, codes),
+        dashboard.watch_stats(watch),
+        spark.createDataFrame([], "feature string, importance double"),
+        spark.createDataFrame([], "model string, tn long, fp long, fn long, tp long, accuracy double"),
+    )
+    path, later = scratch.scratch_path(spark, "dashboard"), scratch.scratch_path(spark, "dashboard-parts")
+    export.write_json_document(document, path)
+    export.write_json_document(dashboard.later_parts(parts), later)
+    return path, later, {f.name: f.dataType.simpleString() for f in cross.schema}
+
+
+@query("sink_dashboard_legends")
+def sink_dashboard_legends(spark, folder):
+    path, later, _ = _written_dashboard(spark, folder)
+    return dashboard.read_legends(spark, path, later)
+
+
+@query("sink_dashboard_crosstab")
+def sink_dashboard_crosstab(spark, folder):
+    return dashboard.read_crosstab(spark, *_written_dashboard(spark, folder))
+
+
 def _total(numbers):
     return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x)
 

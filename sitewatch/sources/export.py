@@ -28,7 +28,7 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def write_json_document(document: DataFrame, path: str) -> None:
-    """A one-row table of structs and arrays as one compact JSON document."""
+    """A table of structs and arrays, one compact JSON document for each row."""
     document.select(F.to_json(F.struct(*document.columns)).alias("value")).write.mode(
         "overwrite"
     ).text(path)

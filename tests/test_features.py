@@ -120,6 +120,19 @@ def test_histogram_of_whole_numbers_lists_empty_bins(make_obs):
     assert {r["bin"]: r["n"] for r in got} == {0: 1, 1: 2, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1}
 
 
+def test_histogram_with_a_far_value(spark):
+    """Bins beyond the range of an int, and empty ones made by more than one task."""
+    far = 3_000_000_000
+    df = spark.createDataFrame([(float(v),) for v in (-5, 0, 0, far)], "x double")
+    got = distribution.histograms(df, {"x": None}, empty=False).collect()
+    assert {r["bin"]: r["n"] for r in got} == {0: 1, 5: 2, far + 5: 1}
+    near = distribution.histograms(df.where(f"x < {far}").union(spark.sql("SELECT 1e6")), {"x": None})
+    tasks = near.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    made = [r["n"] for r in tasks.collect()]
+    assert sum(made) == 1_000_006 and len(made) > 1
+    assert near.agg(F.sum("n"), F.countDistinct("bin"), F.max("bin")).first()[:] == (4, 1_000_006, 1_000_005)
+
+
 def test_histogram_of_constant_measure(make_obs):
     got = distribution.histograms(make_obs([{}, {}]), {"outage_count": None}).collect()
     assert [(r["bin"], r["n"]) for r in got] == [(0, 2)]
