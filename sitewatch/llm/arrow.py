@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Text bytes a task works on at a time; a longer text is a batch of its own.
@@ -51,3 +54,57 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, most: int = SLICE_BYTE
         held += n
     if len(sizes) > start:
         yield batch.slice(start)
+
+
+# The one thing this Python worker keeps from task to task: its owner, its key, and itself.
+_resident: tuple[str, Hashable, object] | None = None
+# The last task that this worker tidied up for.
+_tidied: int | None = None
+
+
+def resident(owner: str, key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make()`` returns, kept in this Python worker for the owner's next tasks.
+
+    Spark hands workers from stage to stage, so what an operator keeps lies beside the work of all
+    others. A worker therefore keeps one thing; ``tidy`` for another owner drops it.
+    """
+    global _resident
+    if _resident is None or _resident[:2] != (owner, key):
+        _resident = None
+        _resident = (owner, key, make())
+    return _resident[2]
+
+
+def release(owner: str = "") -> None:
+    """Drop what another owner keeps here, and give memory that is free back to the system."""
+    global _resident
+    if _resident is not None and _resident[0] != owner:
+        _resident = None
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(owner: str = "") -> None:
+    """``release`` once for each task, however many groups it has."""
+    global _tidied
+    context = TaskContext.get()
+    task = context.taskAttemptId() if context is not None else None
+    if task is None or task != _tidied:
+        release(owner)
+        _tidied = task
+
+
+def tidied(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """A function over the batches of a task, with ``release`` before and after it."""
+
+    def tidy_run(batches: Iterator) -> Iterator:
+        release(owner)
+        try:
+            yield from run(batches)
+        finally:
+            release(owner)
+
+    return tidy_run

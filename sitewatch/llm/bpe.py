@@ -15,7 +15,6 @@ import base64
 import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sitewatch.llm.arrow import require, slices
+from sitewatch.llm.arrow import require, resident, slices, tidied
 
 # Entries of each table before it is emptied.
 STATES = 200_000
@@ -352,16 +351,27 @@ class WholeTokens:
                 self.mask[i], self.texts[i] = True, data.decode()
 
 
-@lru_cache(maxsize=1)
-def _encoder(data: bytes, pattern: str, entries: int = STATES) -> Encoder:
-    """One for each Python worker, which then keeps its tables from task to task."""
-    return Encoder(read_ranks(data), pattern, entries, entries)
+# Whose tables a Python worker keeps, see ``arrow.resident``.
+OWNER = "byte-level BPE"
+
+
+def _tables(data: bytes, pattern: str, entries: int) -> tuple[Encoder, dict[int, bytes], WholeTokens]:
+    """One set for each Python worker, which keeps it from task to task."""
+
+    def make() -> tuple[Encoder, dict[int, bytes], WholeTokens]:
+        ranks = read_ranks(data)
+        tokens = {r: t for t, r in ranks.items()}
+        return Encoder(ranks, pattern, entries, entries), tokens, WholeTokens(tokens)
+
+    return resident(OWNER, (data, pattern, entries), make)
 
 
-@lru_cache(maxsize=2)
 def _vocabulary(data: bytes) -> tuple[dict[int, bytes], WholeTokens]:
-    tokens = {r: t for t, r in read_ranks(data).items()}
-    return tokens, WholeTokens(tokens)
+    def make() -> tuple[dict[int, bytes], WholeTokens]:
+        tokens = {r: t for t, r in read_ranks(data).items()}
+        return tokens, WholeTokens(tokens)
+
+    return resident(OWNER, data, make)
 
 
 def _rank_file(df: DataFrame, ranks_path: str):
@@ -400,8 +410,7 @@ def encode(
     schema = T.StructType([*df.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(data.value, pattern, entries)
-        tokens, whole = _vocabulary(data.value) if decoded else ({}, None)
+        encoder, tokens, whole = _tables(data.value, pattern, entries)
         for batch in batches:
             for part in slices(batch, text):
                 flat = encoder.encode_all(t or "" for t in part.column(text).to_pylist())
@@ -414,7 +423,7 @@ def encode(
                     columns.append(pa.array([_decoded(x, tokens, whole) for x in flat], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run, OWNER), schema)
 
 
 def _decoded(ids: Sequence[int], tokens: dict[int, bytes], whole: WholeTokens) -> str:
@@ -441,5 +450,5 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decode
                 column = pa.array([_decoded(x, tokens, whole) for x in known], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run, OWNER), schema)
 

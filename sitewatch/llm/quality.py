@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitewatch.llm import boosting
-from sitewatch.llm.arrow import require
+from sitewatch.llm.arrow import require, slices, tidied
 
 # Labelled rows the trees are fitted on at most, taken in the order of a hash of their key.
 FIT_ROWS = 8000
@@ -108,12 +108,10 @@ def measure(df: DataFrame, text: str = "text", model: boosting.Trees | None = No
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [statistics(t.as_py() or "") for t in batch.column(text)]
+        for part in (x for batch in batches for x in slices(batch, text)):
+            found = [statistics(t.as_py() or "") for t in part.column(text)]
             counts = np.array([c for c, _ in found], np.int64)
-            columns = [batch.column(c) for c in kept]
+            columns = [part.column(c) for c in kept]
             columns += [pa.array(counts[:, i]) for i in range(len(COUNTS))]
             features = np.array([f for _, f in found])
             if model is not None:
@@ -122,7 +120,7 @@ def measure(df: DataFrame, text: str = "text", model: boosting.Trees | None = No
                 columns.append(pa.array(list(features), pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*kept, text).mapInArrow(tidied(run), schema)
 
 
 def fit(

@@ -8,7 +8,9 @@ holds all of them.
 1. Documents are dealt to groups of a few megabytes. Each group lists its different anchor grams;
    buckets answer which of them other groups have as well.
 2. Around these, groups send each different context once, with the smallest key that has it.
-   Sampled splitters of the grams' leading bytes range-partition them into buckets. A bucket
+   Sampled splitters of the grams' leading bytes range-partition them into buckets. Splitters are
+   bounded, as is their sample; beyond that many buckets each range is cut by the hash of the whole
+   gram, which equal strings share. A bucket
    sorts the suffixes that start in its contexts, cut at ``SPAN`` bytes, by multikey quicksort;
    equal neighbours are equal strings, and their smallest key goes back to the groups that asked.
    A gram with very many contexts would overflow its bucket: its suffixes cross bucket
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitewatch.llm.arrow import require, text_bytes
+from sitewatch.llm.arrow import require, text_bytes, tidied, tidy
 
 SPAN, GRAM = 50, 16
 GRAMS = SPAN - GRAM + 1  # grams of a string, and most strings of a context
@@ -38,6 +40,7 @@ GROUP_BYTES = 4 << 20  # text in a group of documents, on average
 CHUNK = 1 << 18  # bytes whose anchors are found at a time
 HEAVY = 20_000  # contexts of a gram beyond which its suffixes are dealt one by one
 SAMPLE_BYTES = 32 << 20  # text that the splitters are taken from, about
+RANGES = 8192  # ranges of leading bytes; more buckets than these are cut by hashes
 MESSAGE = "target int, origin int, kind int, data binary"
 
 _TABLE = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64) * 2 + 1
@@ -218,6 +221,7 @@ def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _ask_grams(docs: pa.Table, buckets: int) -> pa.Table:
     """The group's different anchor grams, and how many contexts each has here (up to 255)."""
+    tidy()
     if not docs.num_rows:
         return _table([])
     grams, marks = [], []
@@ -245,6 +249,7 @@ def _runs(target: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _answer_grams(asked: pa.Table, heavy: int) -> pa.Table:
     """To each group: which of its grams others have too (kind 0), which are heavy (kind 1)."""
+    tidy()
     origins = asked.column("origin").to_pylist()
     parts = [_arrays(m) for m in asked.column("data").to_pylist()]
     gram = np.concatenate([p[0] for p in parts])
@@ -289,6 +294,7 @@ def _singles(found: Contexts, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _send_contexts(docs: pa.Table, answers: pa.Table, splitters: np.ndarray, buckets: int) -> pa.Table:
     """The group's different contexts around repeated grams, each once, to their buckets."""
+    tidy()
     if not docs.num_rows:
         return _table([])
     repeated, heavy = _listed(answers, 0), _listed(answers, 1)
@@ -312,22 +318,24 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, splitters: np.ndarray, buc
         large = _is_in(found.gram[rows], heavy)
         plain, split = rows[~large], rows[large]
         blocks.append(
-            (found.bytes_of(plain), found.strings[plain], found.offset[plain], keys[found.text[plain]], np.zeros(len(plain), bool))
+            (found.bytes_of(plain), found.strings[plain], found.offset[plain], keys[found.text[plain]], np.zeros(len(plain), bool), found.gram[plain])
         )
         if len(split):
             place, offset, row = _singles(found, split)
             cut = _cut(found.data, place, np.full(len(place), SPAN))
-            blocks.append((cut, np.ones(len(place), np.int64), offset, keys[found.text[row]], np.ones(len(place), bool)))
-    rows, strings, offset, key, single = (np.concatenate(x) for x in zip(*blocks))
+            blocks.append(
+                (cut, np.ones(len(place), np.int64), offset, keys[found.text[row]], np.ones(len(place), bool), found.gram[row])
+            )
+    rows, strings, offset, key, single, gram = (np.concatenate(x) for x in zip(*blocks))
     if not len(rows):
         return _table([])
     mark = context_hashes(rows, strings, offset)
     order, first = _grouped(mark)
     low, high = np.minimum.reduceat(key[order], first), np.maximum.reduceat(key[order], first)
     at = order[first]
-    rows, strings, offset, single, mark = rows[at], strings[at], offset[at], single[at], mark[at]
+    rows, strings, offset, single, gram, mark = rows[at], strings[at], offset[at], single[at], gram[at], mark[at]
     anchor = np.take_along_axis(rows, offset[:, None] + np.arange(8), axis=1)
-    target = np.searchsorted(splitters, _big_endian(anchor, 8)[:, 0], "right")
+    target = _buckets_of(_big_endian(anchor, 8)[:, 0], gram, splitters, buckets)
     target = np.where(single, (mark % np.uint64(buckets)).astype(np.int64), target)
     origin = docs.column("group")[0].as_py()
     order = np.argsort(target, kind="stable")
@@ -342,8 +350,16 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, splitters: np.ndarray, buc
     return _table(out)
 
 
+def _buckets_of(lead: np.ndarray, gram: np.ndarray, splitters: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each gram: the range of its leading bytes, and within it a part by its hash."""
+    parts = max(1, round(buckets / (len(splitters) + 1)))
+    inside = (gram % np.uint64(parts)).astype(np.int64)
+    return np.searchsorted(splitters, lead, "right") * parts + inside
+
+
 def _answer_contexts(sent: pa.Table) -> pa.Table:
     """The smallest key of every string of every context, to the groups it matters to."""
+    tidy()
     origins = sent.column("origin").to_pylist()
     parts = [_arrays(m) for m in sent.column("data").to_pylist()]
     strings = np.concatenate([p[1] for p in parts]).astype(np.int64)
@@ -439,6 +455,7 @@ def _covered(found: Contexts, keys: np.ndarray, heavy: np.ndarray, replies: list
 
 def _remove(docs: pa.Table, replies: pa.Table, whole_characters: bool) -> pa.Table:
     """Spans that go, and the bytes that stay, of each document of the group."""
+    tidy()
     heavy = _listed(replies, 1)
     parts = [
         _arrays(m)
@@ -476,9 +493,10 @@ def _remove(docs: pa.Table, replies: pa.Table, whole_characters: bool) -> pa.Tab
 
 
 def _splitters(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
-    """``buckets - 1`` leading words of anchor grams that part a sample of them evenly.
+    """At most ``RANGES - 1`` leading words of anchor grams that part a sample of them evenly.
 
-    The sample is bounded by bytes of text; it decides the balance, never the result.
+    The sample is bounded by bytes of text, with some fourteen grams for each of the most ranges; it
+    decides the balance, never the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,14 +507,15 @@ def _splitters(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
                 lead = _big_endian(_cut(found.data, found.place[rows] + found.offset[rows], np.full(len(rows), GRAM)), 8)
                 yield pa.RecordBatch.from_arrays([pa.array(lead[:, 0].view(np.int64))], ["lead"])
 
-    if buckets < 2:
+    ranges = min(buckets, RANGES)
+    if ranges < 2:
         return np.zeros(0, np.uint64)
     fraction = min(1.0, SAMPLE_BYTES / max(total, 1))
-    found = docs.sample(fraction, seed=5).select("key", "text").mapInArrow(run, "lead long").toPandas()
+    found = docs.sample(fraction, seed=5).select("key", "text").mapInArrow(tidied(run), "lead long").toPandas()
     lead = np.sort(found["lead"].to_numpy(np.int64).view(np.uint64))
     if not len(lead):
         return np.zeros(0, np.uint64)
-    return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets])
+    return np.unique(lead[np.arange(1, ranges) * len(lead) // ranges])
 
 
 def duplicate_passages(

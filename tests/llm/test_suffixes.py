@@ -115,3 +115,20 @@ def test_only_buckets_that_occur_take_time():
     assert list(suffixes._runs(np.array([3, 3, 2_000_000, 2_000_001], np.int64))) == [
         (3, 0, 2), (2_000_000, 2, 3), (2_000_001, 3, 4),
     ]
+
+
+def test_ranges_of_many_grams_are_cut_by_their_hashes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RANGES", 3)
+    rows = corpus(3)
+    assert order(found(spark, rows, group_bytes=400)) == order(brute_force(rows))
+
+
+def test_buckets_of_grams():
+    rng = np.random.default_rng(4)
+    lead, gram = (rng.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(2))
+    cuts = np.sort(lead)[[1250, 2500, 3750]]
+    assert (suffixes._buckets_of(lead, gram, cuts, 4) == np.searchsorted(cuts, lead, "right")).all()
+    target = suffixes._buckets_of(lead, gram, cuts, 40)
+    assert (target // 10 == np.searchsorted(cuts, lead, "right")).all()
+    assert len(np.unique(target)) == 40 and np.bincount(target).max() < 2 * 125
+    assert (suffixes._buckets_of(lead, gram, cuts[:0], 7) == gram % np.uint64(7)).all()
