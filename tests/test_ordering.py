@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitewatch.operators import evaluate
+from sitewatch.operators import evaluate, quantiles
 from sitewatch.operators.ordering import global_position, running_totals
 from sitewatch.operators.quantiles import exact_quantiles
 
@@ -46,6 +46,46 @@ def test_quantiles_gather_no_values_in_one_task(numbers):
     assert "collect_list" not in plan and "percentile" not in plan
 
 
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_whatever_the_sketch(spark, monkeypatch, accuracy):
+    """Coarse sketches cost rounds; ties, one value, both zeros and infinities are counted out."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = np.random.default_rng(accuracy)
+    columns = {
+        "random": rng.normal(size=1501),
+        "hot": np.where(rng.random(1501) < 0.4, 7.0, rng.integers(0, 20, 1501)),
+        "one": np.full(1501, -2.5),
+        "ends": np.where(rng.random(1501) < 0.3, np.inf, np.where(rng.random(1501) < 0.5, -0.0, 0.0)),
+    }
+    df = spark.createDataFrame(list(zip(*[c.tolist() for c in columns.values()])), list(columns)).repartition(7)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.7531, 0.99, 1.0]
+    row = exact_quantiles(df, list(columns), probs).first()
+    for name, values in columns.items():
+        low, high = (np.quantile(values, probs, method=m) for m in ("lower", "higher"))
+        same = low == high
+        assert np.array(row[name])[same].tolist() == low[same].tolist()
+        rest = np.quantile(values[np.isfinite(values)], probs) if name == "ends" else np.quantile(values, probs)
+        assert np.array(row[name])[~same] == pytest.approx(rest[~same], abs=1e-12)
+
+
+def test_values_at_ranks_are_those_of_the_sorted_column(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "ACCURACY", 8)
+    values = [float(x * x % 97) for x in range(400)] + [float("nan")] * 3
+    typed = spark.createDataFrame([(v,) for v in values] + [(None,)] * 9, "x double").repartition(5)
+    ranks = [0, 1, 57, 199, 200, 398, 399, 400, 402]
+    got = quantiles.values_at(typed, {"x": len(values)}, {"x": ranks})["x"]
+    assert sorted(got) == ranks
+    assert [got[k] for k in ranks[:7]] == [sorted(values[:400])[k] for k in ranks[:7]]
+    assert np.isnan([got[400], got[402]]).all()
+
+
+def test_quantiles_of_columns_without_values(spark):
+    df = spark.createDataFrame([(None, 3.0)], "x double, y double")
+    row = exact_quantiles(df, ["x", "y"], [0.1, 0.5]).first()
+    assert row["x"] is None and row["y"] == [3.0, 3.0]
+    assert exact_quantiles(df.limit(0), ["x", "y"], [0.5]).first()["y"] is None
+
+
 def test_quantiles_skip_nulls(spark):
     df = spark.createDataFrame([(None,), (1.0,), (2.0,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]).first()["x"] == [1.5]
