@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.operators import evaluate, history, model, nodes
 from sitewatch.plans import stages
+from sitewatch.plans.catalog import CATALOG
 from sitewatch.sources import scratch
 from sitewatch.sources.observations import observations
 
@@ -95,6 +96,20 @@ def test_tree_models_and_importance(sides):
         assert 0 <= row["roc_auc"] <= 1
 
 
+def test_the_importance_query_returns_every_feature(spark):
+    """All of them with a place, not the first ten; those are the reference's list."""
+    folder = "/root/testdata/sf0.001"
+    got = {r["feature"]: r for r in CATALOG["ml_importance"](spark, folder).collect()}
+    train, _ = stages.train_and_test(observations(spark, folder))
+    seen = train.select(*model.DEFAULTS.labels).collect()
+    hot = {f"{c}_onehot_{r[c]}" for r in seen for c in model.DEFAULTS.labels if r[c] is not None}
+    assert set(got) == set(model.DEFAULTS.numeric) | hot and len(got) > 10
+    ranked = sorted(got.values(), key=lambda r: r["place"])
+    assert [r["place"] for r in ranked] == list(range(1, len(got) + 1))
+    assert [r["importance"] for r in ranked] == sorted((r["importance"] for r in ranked), reverse=True)
+    assert sum(r["importance"] for r in ranked) == pytest.approx(1, abs=5e-5 * len(got))
+
+
 def test_predictions_cover_every_tower(spark, folder, logistic):
     rows = observations(spark, folder)
     predicted = stages.predictions(logistic, history.full_history(rows))
