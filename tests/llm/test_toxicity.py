@@ -5,8 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from sitewatch.llm import queries, toxicity
+from sitewatch.sources.scratch import frozen
 
 
 def rows_of(*texts):
@@ -137,3 +140,51 @@ def test_the_sample_is_bounded_by_bytes(spark, monkeypatch):
     for total, most in ((16 * 30, 48), (1 << 20, 160)):
         toxicity.fit(docs, labels, total_size=total, text_size=9000)
         assert seen.pop() == most  # a fifth calibrates
+
+
+def test_all_labelled_texts_are_learned_from(spark, monkeypatch):
+    """Words of the texts that a sample of 2,500 by the hash of the key, or of texts below 1 MB, leaves out."""
+    keys = spark.range(6400).selectExpr("id AS doc_id", "int(id % 2) AS toxic", "xxhash64(id) AS h")
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
+    plain = F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(300))) for i in range(12)))
+    bad = F.when(F.col("toxic") == 0, "").when(F.col("place") > 2500, " vile").otherwise(" foul")
+    text = F.concat(plain, bad)
+    long = F.when((F.col("toxic") == 1) & (F.col("place") <= 20), F.concat(F.repeat(F.lit("w1 w2 "), 180_000), F.lit("rotten")))
+    docs = keys.withColumn("place", place).select("doc_id", "toxic", F.coalesce(long, text).alias("text"), F.lit("en").alias("lang"))
+    docs = frozen(docs)
+    labels = docs.select("doc_id", "toxic")
+    network = toxicity.fit(docs, labels)
+    scores = network.score(*rows_of("w1 w2 vile w3", "w1 w2 foul w3", "w5 rotten w6", "w1 w2 w3", "w7 w8 w9"))
+    assert (scores[:3] > 0.5).all() and (scores[3:] < 0.5).all()
+    # Several parts; neither the order of the rows nor the kind of the join changes a bit.
+    monkeypatch.setattr(toxicity, "SENT_LABELS", 100)
+    again = toxicity.fit(docs.repartition(5, "text"), labels)
+    for a, b in zip((*network.words, network.heads, network.bias), (*again.words, again.heads, again.bias)):
+        assert (a == b).all()
+    assert (network.scale, network.move, network.thresholds) == (again.scale, again.move, again.thresholds)
+
+
+def test_calibration_and_thresholds_over_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    label = (rng.random(3000) < 0.2).astype(int)
+    z = np.round(rng.normal(label * 1.5 - 1, 1), 2)  # with ties
+    lang = np.where(rng.random(3000) < 0.99, "en", "rare")
+    rows = [(int(y), str(g), float(x)) for y, g, x in zip(label, lang, z)] + [(0, None, 0.5)]
+    outputs = spark.createDataFrame(rows, "label int, lang string, z double").repartition(4)
+    network, plain = (toxicity.train([], np.zeros(0)) for _ in range(2))
+    monkeypatch.setattr(plain, "output", lambda x, _: x[0], raising=False)
+    toxicity._calibrate(network, outputs)
+    x = np.append(z, 0.5)
+    toxicity.calibrate(plain, [np.array([[v]]) for v in x], np.append(label, 0).astype(float), np.ones(len(x)))
+    assert (network.scale, network.move) == pytest.approx((plain.scale, plain.move), abs=1e-6)
+    got = toxicity._thresholds(network, outputs)
+    assert set(got) == {"en", "rare"}
+    chance = 1 / (1 + np.exp(-(network.scale * z + network.move)))
+
+    def f1(threshold):
+        found = (chance >= threshold) & (lang == "en")
+        return 2 * label[found].sum() / (found.sum() + label[lang == "en"].sum())
+
+    assert f1(got["en"]) == pytest.approx(max(f1(t) for t in np.unique(chance)), abs=1e-12)
+    few = label[lang == "rare"]
+    assert (got["rare"] == 0.5) == (min(few.sum(), len(few) - few.sum()) < 8)
