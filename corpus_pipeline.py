@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``.
 
-Quality rules reject documents, of near-duplicates one stays (found by minimum hashes and checked
-on their shingles, in the place of SimHash: see ``near_duplicates``), passages that another document has
+Quality rules reject documents, of near-duplicates one stays (found by SimHash, those beyond its
+radius by minimum hashes, all checked on their shingles: see ``near_duplicates``), passages that another document has
 earlier go, sources are mixed to their target weights, and the mix is encoded. Every stage but
 the last returns the columns of ``documents``; ``n_chars`` follows the text.
 """
@@ -35,10 +35,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, one row: with the smallest key, a null one last.
 
-    Near are documents whose shingles of five words have Jaccard similarity 0.8 or more. Texts
-    that similar differ in 10 of 64 bits of a SimHash on average, too many for its search; so
-    candidates come from minimum hashes, and every one is checked on its shingles. Null, empty
-    and blank texts are near each other.
+    Near are documents whose shingles of five words have Jaccard similarity 0.8 or more. The
+    SimHash search finds those within 4 of 64 bits. Texts at 0.8 differ in 10 bits on average, too
+    many for any search by shards; so documents that it leaves apart are also tried by
+    minimum hashes, and every candidate is checked on its shingles. Null, empty and
+    blank texts are near each other.
     """
     rows = frozen(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
     found = similar.near_duplicates(rows, shingle=5, similarity=0.8, row="_row")

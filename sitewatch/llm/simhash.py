@@ -44,9 +44,8 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of the shingles of ``text``, repeats included; zero without words."""
-    hashes = shingle_hashes(text, shingle)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero without any."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _COUNTED):
         part = hashes[i : i + _COUNTED].view(np.uint8).reshape(-1, 8)
@@ -55,6 +54,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """SimHash of the shingles of ``text``, repeats included; zero without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(
     df: DataFrame, shingle: int = 4, text: str = "text", name: str = "fp"
 ) -> DataFrame:

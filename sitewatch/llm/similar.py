@@ -1,10 +1,13 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found in bands of minimum hashes.
+"""Near-duplicates by the Jaccard similarity of word shingles, found by SimHash, the rest in bands.
 
-Texts with the same set of shingles are one node. A node's minimum hashes are cut into bands;
+Texts with the same set of shingles are one node. Its SimHash is searched in sharded BK-trees, and
+the links found are checked on the shingles. This finds near copies: at similarity 0.8 texts differ in
+10 of 64 bits, beyond any radius that shards can serve. So what is not in one component by then
+goes on: a node's minimum hashes are cut into bands;
 nodes that agree on a band are candidates. At similarity 0.8 two nodes miss each other in all 32
 bands of 5 with probability 0.000003, and less above. Every candidate pair is checked on the
 shingles themselves before it is linked. Of a band's value, all nodes are first compared with one
-of them. Nodes that this leaves in different components are not paired by the band, which texts
+of them, unless SimHash has linked the two. Nodes that this leaves in different components are not paired by the band, which texts
 with the same boilerplate may share by thousands: they are joined on their rarest shingles.
 """
 
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.llm.arrow import require, slices, tidied
 from sitewatch.llm.graph import components
+from sitewatch.llm import simhash
 from sitewatch.llm.simhash import SEED, shingle_hashes
 from sitewatch.sources.scratch import frozen
 
@@ -51,20 +55,25 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """``(row, print, keys)`` of rows ``(row, text)``; equal prints are equal sets of shingles."""
+    """``(row, print, fp, keys)`` of rows ``(row, text)``; equal prints are equal sets of shingles.
+
+    ``fp`` is the SimHash of the set, a signed long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                prints, keys = [], []
+                prints, fps, keys = [], [], []
                 for t in part.column("text").cast(pa.binary()):
                     found = shingle_set(t.as_py(), shingle)
                     prints.append(xxhash.xxh3_128_digest(found.astype("<u8").tobytes()))
+                    fps.append(simhash.majority(found))
                     keys.append(band_keys(found))
-                columns = [part.column("row"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "print", "keys"])
+                signed = pa.array(np.array(fps, np.uint64).view(np.int64))
+                columns = [part.column("row"), pa.array(prints, pa.binary()), signed, pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "print", "fp", "keys"])
 
-    return rows.select("row", "text").mapInArrow(tidied(run), "row long, print binary, keys array<long>")
+    return rows.select("row", "text").mapInArrow(tidied(run), "row long, print binary, fp long, keys array<long>")
 
 
 def _checked(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -135,18 +144,43 @@ def sharing_rare_shingles(rows: DataFrame, roots: DataFrame, shingle: int, simil
     return met.select("a", "b").distinct()
 
 
-def links(bands: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` that connect all candidates of ``bands`` ``(row, key)`` that are similar."""
+def simhash_links(
+    nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, radius: int = 4, blocks: int = 6
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates ``(a, b)`` by the SimHash of ``nodes`` ``(node, fp)``, and those that are similar.
+
+    The candidates connect all nodes whose fingerprints are within ``radius``; a dense group is not paired.
+    """
+    prints = frozen(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(prints, "fp").where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(prints.select("fp", F.col("first").alias("node")), radius, blocks)
+    tried = frozen(same.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    return tried, frozen(_checked(tried, rows, shingle, similarity))
+
+
+def links(
+    bands: DataFrame, rows: DataFrame, known: tuple[DataFrame, DataFrame], shingle: int, similarity: float
+) -> DataFrame:
+    """Links ``(a, b)`` that connect all candidates of ``bands`` ``(row, key)`` that are similar.
+
+    ``known`` has the candidates tried before, and the links found among them, which are returned too.
+    """
+    before, close = known
+    roots = components(close, "a", "b")
     first = bands.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("z")).where("a < z")
     shared = frozen(bands.join(first.select("key", "a"), "key"))
-    tried = frozen(shared.where("a < row").select("a", F.col("row").alias("b")).distinct())
-    found = frozen(_checked(tried, rows, shingle, similarity))
+    tried = shared.where("a < row").select("a", F.col("row").alias("b")).distinct()
+    for end in ("a", "b"):
+        tried = tried.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    tried = frozen(tried.where(apart).select("a", "b").join(before, ["a", "b"], "left_anti"))
+    found = frozen(close.union(_checked(tried, rows, shingle, similarity)))
     roots = components(found, "a", "b").withColumnRenamed("node", "row")
     parted = shared.join(roots, "row", "left").select("key", "row", F.coalesce("root", "row").alias("root"))
     open_keys = parted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
     left = frozen(parted.join(open_keys.select("key"), "key").select("row").distinct())
     rest = sharing_rare_shingles(rows.join(left, "row", "left_semi"), roots, shingle, similarity)
-    rest = rest.join(tried, ["a", "b"], "left_anti")
+    rest = rest.join(tried.union(before), ["a", "b"], "left_anti")
     return found.union(_checked(frozen(rest), rows, shingle, similarity))
 
 
@@ -162,11 +196,12 @@ def near_duplicates(
     require(df, row, text)
     rows = df.select(F.col(row).alias("row"), F.col(text).alias("text"))
     sketches = frozen(_sketches(rows, shingle))
-    # Sets that are equal have equal keys.
-    nodes = sketches.groupBy("print").agg(F.min("row").alias("node"))
+    # Sets that are equal have equal keys and fingerprints.
+    nodes = sketches.groupBy("print").agg(F.min("row").alias("node"), F.min("fp").alias("fp"))
     nodes = frozen(nodes)
     kept = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     bands = frozen(kept.select("row", F.explode("keys").alias("key")))
-    roots = components(links(bands, rows, shingle, similarity), "a", "b")
+    known = simhash_links(nodes.select("node", "fp"), rows, shingle, similarity)
+    roots = components(links(bands, rows, known, shingle, similarity), "a", "b")
     named = nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component"))
     return sketches.select("row", "print").join(named, "print").select(F.col("row").alias(row), "component")

@@ -116,3 +116,23 @@ def test_a_hot_band_against_all_pairs(spark):
     met = {tuple(r) for r in similar.sharing_rare_shingles(df.where("row < 120"), roots, 5, 0.8).collect()}
     near = {(i, j) for j in range(120) for i in range(j) if plain_jaccard(rows[i][1], rows[j][1]) >= 0.8 - 1e-9}
     assert near <= met
+
+
+def test_simhash_links_near_copies_and_bands_the_rest(spark, monkeypatch):
+    """Without what the bands find, most copies with one word changed are linked, and nothing else is."""
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(600)]
+        rows.append((2 * i, " ".join(words)))
+        words[rng.randrange(600)] = "changed"
+        if i >= 30:  # similarity 0.5
+            words[:200] = [f"v{rng.getrandbits(40)}" for _ in range(200)]
+        rows.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "row long, text string")
+    want = plain_components(rows)
+    assert {r["row"]: r["component"] for r in similar.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(similar, "links", lambda bands, rows, known, *_: known[1])
+    alone = {r["row"]: r["component"] for r in similar.near_duplicates(df).collect()}
+    linked = [i for i in range(40) if alone[2 * i + 1] == 2 * i]
+    assert len(linked) >= 20 and max(linked) < 30
+    assert all(alone[k] in (k, want[k]) for k in alone)
