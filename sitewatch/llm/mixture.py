@@ -164,12 +164,11 @@ def mix(
         raise ValueError("the mix cannot take more than every source allows")
     names = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
     rows = frozen(docs.select(*names, F.monotonically_increasing_id().alias("_row")))
-    narrow = frozen(
-        rows.select(
-            "_row", F.col(source).alias("source"), F.col(key).alias("key"),
-            F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(key)).alias("h"),
-        )
+    # Read from the frozen rows, whose other columns are left out; not written once more.
+    narrow = rows.select(
+        "_row", F.col(source).alias("source"), F.col(key).alias("key"),
+        F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(key)).alias("h"),
     )
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = frozen(source_targets(sizes, weights, share, ceiling))

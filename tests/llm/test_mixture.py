@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewatch.llm import mixture, queries
+from sitewatch.operators import ordering
 
 
 def plain_targets(sizes, weights=(3, 1, 2), share=1.5, ceiling=2):
@@ -98,6 +99,20 @@ def test_hot_sizes_null_source_and_repeated_rows(spark):
     assert repeated.count() == sum(r["copies"] for r in got)
 
 
+def test_all_rows_are_written_twice_at_most(spark, monkeypatch):
+    written, frozen = [], ordering.frozen
+
+    def counted(df):
+        written.append(df.count())
+        return frozen(df)
+
+    monkeypatch.setattr(mixture, "frozen", counted)
+    monkeypatch.setattr(ordering, "frozen", counted)
+    df = spark.createDataFrame([(i, "a", 1 + i % 7) for i in range(500)], "doc_id long, source string, size long")
+    assert mixture.mix(df, "size").count() == 500
+    assert written.count(500) == 2  # once for their numbers, once in order
+
+
 def test_no_rows(spark, no_docs):
     assert mixture.mix(no_docs, "n_chars").collect() == []
 
