@@ -33,6 +33,7 @@ from sitewatch.sources.scratch import frozen
 
 BATCH_BYTES = 8 << 20  # text whose links are counted before they are sent
 STRETCH = 1 << 19  # characters whose ids are held as lists
+SPELLED = 1 << 16  # tokens whose bytes are compared at a time
 # The rank library's pattern matcher runs out of stack on longer blanks.
 _long_blank = re.compile(r"\s{5000}").search
 
@@ -58,6 +59,7 @@ class Sides:
         if len(self.bytes_a) * self.size_b >= 1 << 63:
             raise ValueError("too many pairs of ids")
         self.code = np.uint32 if len(self.bytes_a) * self.size_b < 1 << 32 else np.uint64
+        self.vocabulary_a, self.vocabulary_b = _vocabulary(self.bytes_a), _vocabulary(self.bytes_b)
         self.sizes_a = np.array(list(map(len, self.bytes_a)))
         self.sizes_b = np.array(list(map(len, self.bytes_b)))
         self.written_a = _written(len(self.bytes_a), ",|")
@@ -93,43 +95,73 @@ def _ranked(model: dict, tokens: list[bytes]) -> tiktoken.Encoding | None:
 
 
 def _written(size: int, signs: str) -> np.ndarray:
-    """``[last, id]``: the decimal id with what follows it within and at the end of its group."""
-    table = np.empty((2, size), object)
+    """``[last, id]``: the decimal id with what follows it within and at the end of its group, as
+    the eight bytes of a number, zeros behind."""
+    if size > 10_000_000:
+        raise ValueError("an id of more than seven digits")
+    table = np.empty((2, size), np.int64)
     for row, sign in enumerate(signs):
-        table[row] = [f"{i}{sign}" for i in range(size)]
+        table[row] = np.array([f"{i}{sign}" for i in range(size)], "S8").view(np.int64)
     return table
 
 
+def _vocabulary(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes in a row, and where each token starts."""
+    return np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum(list(map(len, tokens))))
+
+
+def _spells(vocabulary: tuple[np.ndarray, np.ndarray], ids: np.ndarray, whole: np.ndarray) -> bool:
+    """Whether the bytes of the tokens join to ``whole``; compared some tokens at a time."""
+    data, starts = vocabulary
+    sizes = starts[ids + 1] - starts[ids]
+    if sizes.sum() != len(whole):
+        return False
+    done = 0
+    for first in range(0, len(ids), SPELLED):
+        size, start = sizes[first : first + SPELLED], starts[ids[first : first + SPELLED]]
+        ends = np.cumsum(size)
+        places = np.repeat(start - ends + size, size) + np.arange(ends[-1])
+        if not np.array_equal(data[places], whole[done : done + ends[-1]]):
+            return False
+        done += ends[-1]
+    return True
+
+
 class Aligned:
     """The groups and links of one text: ``cut_a[g]`` tokens of A end with group ``g`` or before."""
 
     def __init__(self, sides: Sides, a: Sequence[int], b: Sequence[int]):
         self.sides = sides
-        self.a, self.b = np.array(a, np.int64), np.array(b, np.int64)
+        self.a, self.b = np.asarray(a, np.int64), np.asarray(b, np.int64)
         ends_a, ends_b = np.cumsum(sides.sizes_a[self.a]), np.cumsum(sides.sizes_b[self.b])
         at_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))
         at_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1)))
-        common = sorted(at_a.keys() & at_b.keys())
-        self.cut_a = np.array([at_a[e] for e in common], np.int64)
-        self.cut_b = np.array([at_b[e] for e in common], np.int64)
-        ends = np.union1d(ends_a, ends_b)
-        self.linked_a = self.a[np.searchsorted(ends_a, ends)]
-        self.linked_b = self.b[np.searchsorted(ends_b, ends)]
+        common = [e for e in at_a if e in at_b]  # ascending, as the ends went in
+        self.cut_a = np.fromiter(map(at_a.__getitem__, common), np.int64, len(common))
+        self.cut_b = np.fromiter(map(at_b.__getitem__, common), np.int64, len(common))
+        # Every end of A closes a pair with the token of B around it, and every other end of B.
+        alone = np.ones(len(b), bool)
+        alone[self.cut_b - 1] = False
+        self.linked_a = np.append(self.a, self.a[np.searchsorted(ends_a, ends_b[alone])])
+        self.linked_b = np.append(self.b[np.searchsorted(ends_b, ends_a)], self.b[alone])
 
     def codes(self) -> np.ndarray:
         return (self.linked_a * self.sides.size_b + self.linked_b).astype(self.sides.code)
 
-    def text(self) -> str:
+    def written(self) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
         last_a, last_b = np.zeros(len(self.a), np.int8), np.zeros(len(self.b), np.int8)
         last_a[self.cut_a - 1], last_b[self.cut_b - 1] = 1, 1
         # Tokens of A stand behind those of B of all groups before, and the other way round.
         group_a = np.repeat(np.append(0, self.cut_b[:-1]), np.diff(self.cut_a, prepend=0))
         group_b = np.repeat(self.cut_a, np.diff(self.cut_b, prepend=0))
-        out = np.empty(len(self.a) + len(self.b), object)
+        out = np.empty(len(self.a) + len(self.b), np.int64)
         out[np.arange(len(self.a)) + group_a] = self.sides.written_a[last_a, self.a]
         out[np.arange(len(self.b)) + group_b] = self.sides.written_b[last_b, self.b]
-        return "".join(out.tolist())[:-1]
+        return out.tobytes().translate(None, b"\0")[:-1]
+
+    def text(self) -> str:
+        return self.written().decode()
 
 
 def aligned(sides: Sides, texts: list[str | None]) -> Iterator[Aligned | None]:
@@ -139,10 +171,10 @@ def aligned(sides: Sides, texts: list[str | None]) -> Iterator[Aligned | None]:
         if not text:
             yield None
             continue
-        a, b = next(found)
-        whole = b" " + text.encode()
-        joined = b"".join(map(sides.bytes_a.__getitem__, a)), b"".join(map(sides.bytes_b.__getitem__, b))
-        yield Aligned(sides, a, b) if joined == (whole, whole) else None
+        a, b = (np.array(ids, np.int64) for ids in next(found))
+        whole = np.frombuffer(b" " + text.encode(), np.uint8)
+        same = _spells(sides.vocabulary_a, a, whole) and _spells(sides.vocabulary_b, b, whole)
+        yield Aligned(sides, a, b) if same else None
 
 
 def _tokens(sides: Sides, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
@@ -240,7 +272,7 @@ def link_scores(df: DataFrame, a_path: str, b_path: str, text: str = "text") ->
                     if x is None:
                         rows.append((0, 0, 0, 0, "", number, b""))
                         continue
-                    digest = hashlib.sha256(x.text().encode()).hexdigest()
+                    digest = hashlib.sha256(x.written()).hexdigest()
                     codes = x.codes()
                     rows.append((len(x.a), len(x.b), len(x.cut_a), len(codes), digest, number, codes.tobytes()))
                 new = [pa.array(c, f.type) for c, f in zip(zip(*rows), fact_types)]

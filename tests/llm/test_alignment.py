@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -100,6 +101,26 @@ def test_groups_and_links(sides, library, text):
     assert got.text() == ";".join("|".join(",".join(map(str, ids)) for ids in g) for g in groups)
 
 
+def test_bytes_of_tokens_are_compared_by_stretches(sides, library, monkeypatch):
+    monkeypatch.setattr(alignment, "SPELLED", 3)
+    text = "the  café 漢 12 <s>\n" * 5
+    left, right = library(text)
+    whole = np.frombuffer(b" " + text.encode(), np.uint8)
+    for vocabulary, tokens in ((sides.vocabulary_a, left), (sides.vocabulary_b, right)):
+        ids = np.array([i for i, _ in tokens])
+        assert alignment._spells(vocabulary, ids, whole)
+        assert not alignment._spells(vocabulary, ids[:-1], whole)
+        for at in range(0, len(whole), 7):  # one byte differs, in any stretch
+            other = whole.copy()
+            other[at] ^= 1
+            assert not alignment._spells(vocabulary, ids, other)
+    (got,) = alignment.aligned(sides, [text])
+    _, _, groups, _ = plain(text, library)
+    # Written as bytes, from a table of numbers instead of strings.
+    assert got.written() == ";".join("|".join(",".join(map(str, ids)) for ids in g) for g in groups).encode()
+    assert sides.written_a.dtype == sides.written_b.dtype == np.int64
+
+
 def test_special_strings_are_text(sides, library):
     for text in ("<|endoftext|>", "a <s> b</s> <unk> <0x41>", "▁", " ▁ a"):
         (got,) = alignment.aligned(sides, [text])
