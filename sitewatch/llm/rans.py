@@ -11,6 +11,7 @@ next checkpoint names.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import struct
@@ -28,6 +29,7 @@ from tokenizers import Tokenizer
 
 from sitewatch.llm.arrow import require, slices
 from sitewatch.llm.files import opened, written
+from sitewatch.llm.treebpe import byte_characters
 from sitewatch.sources.scratch import frozen
 
 MAGIC = b"IDSRANS1"
@@ -35,6 +37,7 @@ LANES, STEPS, PART = 64, 1024, 256  # lanes; ids of a lane in a block, and betwe
 LOW = 1 << 31  # states lie in [LOW, LOW << 32)
 FILE_IDS = 1 << 22  # ids after which a task starts another file
 WORDS = 1_200_000  # different words whose ids a worker keeps
+DENSE = 1 << 22  # ids below have a table of places
 
 
 @dataclass(frozen=True)
@@ -124,6 +127,15 @@ def _unpacked(stream) -> bytes:
     return zlib.decompress(data)
 
 
+def _places(symbols: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The place of each id among the symbols: looked up where ids are small, else searched."""
+    if not len(ids) or symbols[-1] >= DENSE:
+        return np.searchsorted(symbols, ids).astype(np.uint32)
+    at = np.zeros(int(symbols[-1]) + 1, np.uint32)
+    at[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    return at[ids]
+
+
 def write_ids(out, keys: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
     """One file: documents' keys (``known``: not null) and lengths, and all their ids in a row."""
     table = Table.of(ids) if len(ids) else Table(np.zeros(1, np.uint32), np.array([1 << 16], np.uint64), 16)
@@ -131,7 +143,7 @@ def write_ids(out, keys: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids
     out.write(_packed(table.symbols.astype("<u4"), table.counts.astype("<u4")))
     out.write(_packed(keys.astype("<i8"), known.astype("u1"), lengths.astype("<u4")))
     size = LANES * STEPS
-    places = np.searchsorted(table.symbols, ids).astype(np.uint32)
+    places = _places(table.symbols, ids)
     full = len(ids) // size
     groups = [places[: full * size].reshape(full, STEPS, LANES)] if full else []
     if rest := len(ids) - full * size:
@@ -208,25 +220,70 @@ def read_ids(stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 _SIGNS = re.compile(r"[^ A-Za-z0-9À-ÖØ-öø-ÿ][.,] ").search
 
 
+# Lowered Latin letters, which no Unicode version changes when it lowers or composes them, and signs
+# behind them, which the tokenizer parts from the letters; no apostrophe, which may begin an ending.
+_LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+# What the tokenizer of plain words leaves out: only this is known to do nothing to lowered letters.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+
+
+def _plain(tokenizer: Tokenizer) -> tuple[Tokenizer, np.ndarray] | None:
+    """The same model without the steps that leave lowered letters between blanks as they are, and
+    which ids end a word; None unless the tokenizer's steps are those known to do so."""
+    parts = json.loads(tokenizer.to_str())
+    model, steps = parts["model"], {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+    suffix = model.get("end_of_word_suffix")
+    if parts["normalizer"] != _NORMALIZER or parts["pre_tokenizer"] != steps or not suffix:
+        return None
+    # All bytes of the letters are known, so that no word goes without its end.
+    if not {c + e for c in byte_characters().values() for e in ("", suffix)} <= model["vocab"].keys():
+        return None
+    # Letters with signs behind hold no added token that has letters between signs.
+    if not all(re.fullmatch(r"<\|\w+\|>", t["content"]) for t in parts["added_tokens"]):
+        return None
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+    parts |= {"normalizer": None, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
+    parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTES]}
+    return Tokenizer.from_str(json.dumps(parts)), ends
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each different word.
 
     The tokenizer drops white space and splits at it, and nothing of it looks beyond, so a text
     has the ids of its parts between blanks and line ends, one after another. New words go to
     the library many at a time, in one text, with a control sign between them whose single id
-    tells where each ends.
+    tells where each ends. Words of Latin letters, with or without signs behind, need no such
+    sign: an id of the model ends each word, and its steps before the model are left out.
     """
 
     BETWEEN = "\x01"
 
     def __init__(self, tokenizer: Tokenizer, most: int = WORDS):
         self.tokenizer, self.most, self.known = tokenizer, most, {"": b""}
+        self.plain = _plain(tokenizer)
         self.between = self._ids(self.BETWEEN)
         if len(self.between) != 1:
             raise ValueError("the tokenizer has no single id for the sign between words")
 
-    def _ids(self, text: str) -> np.ndarray:
-        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+    def _ids(self, text: str, tokenizer: Tokenizer | None = None) -> np.ndarray:
+        (found,) = (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, "<u4")
 
     def _words(self, text: str) -> list[str]:
@@ -234,13 +291,15 @@ class WordEncoder:
         ones are lowered here, and it parts a word from a stop or comma, unless that follows
         another sign; so fewer different words are left to ask for."""
         text = text.replace("\n", " ")
-        if text.isascii() and "<|" not in text:  # special tokens are told by their letters
+        if "<|" not in text and _latin(text):  # special tokens are told by their letters
             text = text.lower()
         if not _SIGNS(text):
             text = text.replace(", ", " , ").replace(". ", " . ")
         return text.split(" ")
 
     def _learn(self, words: list[str]) -> None:
+        if self.plain:
+            words = self._learn_letters(words)
         plain = [w for w in words if self.BETWEEN not in w]
         if len(plain) < len(words):
             self.known |= {w: self._ids(w).tobytes() for w in words if self.BETWEEN in w}
@@ -251,15 +310,48 @@ class WordEncoder:
             for word, a, b in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(found)]):
                 self.known[word] = found[a:b].tobytes()
 
+    def _learn_letters(self, words: list[str]) -> list[str]:
+        """Learns the words of letters, with signs behind or not; returns the others."""
+        matches = [_LETTERS(w) for w in words]
+        pairs = [m.groups() for m in matches if m]
+        letters = list(dict.fromkeys(a for a, _ in pairs))
+        (tokenizer, last), ids = self.plain, {"": b""}
+        for start in range(0, len(letters), 2000):
+            part = letters[start : start + 2000]
+            found = self._ids(" ".join(part), tokenizer)
+            ends = (np.flatnonzero(last[found]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the model does not end each word with one id")
+            data = found.tobytes()
+            for word, a, b in zip(part, [0, *ends], ends):
+                ids[word] = data[4 * a : 4 * b]
+        for a, signs in pairs:
+            if signs not in ids:
+                ids[signs] = self._ids(signs).tobytes()
+            self.known[a + signs] = ids[a] + ids[signs]
+        return [w for w, m in zip(words, matches) if not m]
+
     def encode(self, text: str) -> np.ndarray:
         words = self._words(text)
-        new = list(set(words).difference(self.known))
+        found = list(map(self.known.get, words))
+        new = list(dict.fromkeys(w for w, ids in zip(words, found) if ids is None))
         if len(self.known) + len(new) > self.most:
             self.known = {"": b""}
-            new = list(set(words) - {""})
         if new:
             self._learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+            found = [self.known[w] if ids is None else ids for w, ids in zip(words, found)]
+        return np.frombuffer(b"".join(found), "<u4")
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are of Latin-1, whose letters are lowered one by one."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=1)

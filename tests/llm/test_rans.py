@@ -84,6 +84,27 @@ def test_ids_are_the_librarys(library, text):
 _ENCODERS: dict = {}
 
 
+def test_words_of_letters_go_to_the_model_alone(library):
+    encoder = rans.WordEncoder(library)
+    asked = []
+    ids = encoder._ids
+    encoder._ids = lambda text, *plain: (asked.append((text, bool(plain))), ids(text, *plain))[1]
+    words = "Straße ÉTÉ naïve, don't xyzzyqq$$$ abc<| ªº µx a_b foo123 ΣΑΣ plain"
+    for text in (words, words.lower(), "é\u0301 K İx " + words, "a'" + words):
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert any(plain and "plain" in text and "\x01" not in text for text, plain in asked)
+    assert not any("xyzzyqq" in text for text, plain in asked if not plain)
+    every = " ".join(f"{a}x{b}" for a in map(chr, range(33, 256)) for b in map(chr, range(33, 256)))
+    assert encoder.encode(every).tolist() == library.encode(every, add_special_tokens=False).ids
+
+
+def test_places_of_small_and_large_ids():
+    for ids in ([], [5, 3, 3, 0, 49_000], [rans.DENSE + 7, 3, 3]):
+        ids = np.array(ids, np.uint32)
+        symbols = np.unique(ids)
+        assert (symbols[rans._places(symbols, ids)] == ids).all()
+
+
 def plain(docs, library):
     start, out = 0, []
     for d, t in docs:
