@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from sitewatch.operators import evaluate, history, model, nodes
@@ -172,3 +173,50 @@ def test_models_beat_a_constant_where_there_is_signal(sides):
     for fit in model.FITTERS.values():
         scored = model.predict(fit(train, CONFIG), test).select(F.col(model.LABEL).alias("label"), "p")
         assert evaluate.roc_auc(scored).first()[0] > 0.9
+
+
+def test_rows_go_down_sent_trees_in_one_pass(sides, monkeypatch):
+    """A row stays one row, however many trees and levels; with null and repeated keys, too few levels, and no trees."""
+    train, test = sides
+    fitted = model.fit_forest(train, CONFIG)
+    table = scratch.frozen(nodes.tree_nodes(fitted, "m", train))
+    coded = fitted.transform(test)
+    key = F.when(F.col("row_id") % 7 != 0, F.col("row_id") % 50).alias("key")
+    odd = coded.select(key, "features")
+
+    def scores(nodes_table, depth):
+        return dict(nodes.score_nodes(nodes_table, odd, "key", "features", depth, False).collect())
+
+    for depth in (0, 2, CONFIG.tree_depth):
+        with monkeypatch.context() as patch:
+            sent = scores(table, depth)
+            patch.setattr(nodes, "SENT_ROWS", 0)
+            joined = scores(table, depth)
+        assert None in sent and sent.keys() == joined.keys()
+        assert all(sent[k] == pytest.approx(p, abs=1e-9) for k, p in joined.items())
+    assert scores(table.limit(0), 2) == {}
+    plan = nodes.score_nodes(table, odd, "key", "features", 8, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan
+
+
+def test_sets_of_categories_and_gaps_between_node_numbers(spark, monkeypatch):
+    """Categories of any number go left together; nodes need not be numbered without gaps."""
+    none = None
+    table = spark.createDataFrame(
+        [
+            ("m", 0, 0, 0, "c", none, [0.0, 3.0], 4, 9, 0.5, 1.0), ("m", 0, 4, 1, "x", 2.0, none, 5, 7, 0.5, 1.0),
+            ("m", 0, 5, none, none, none, none, none, none, 0.1, 1.0),
+            ("m", 0, 7, none, none, none, none, none, none, 0.2, 1.0),
+            ("m", 0, 9, none, none, none, none, none, none, 0.4, 1.0),
+            ("m", 3, 0, none, none, none, none, none, none, 0.8, 3.0),
+        ],
+        "model string, tree int, node int, position int, feature string, threshold double, values array<double>, "
+        "left int, right int, value double, weight double",
+    )
+    x = [(c, v) for c in (0.0, 1.0, 3.0) for v in (2.0, 2.5, float("nan"))]
+    rows = spark.createDataFrame([(i, Vectors.dense(*v)) for i, v in enumerate(x)], ["i", "f"])
+    leaf = [0.4 if c == 1 else 0.1 if v <= 2 else 0.2 for c, v in x]
+    for sent in (1 << 20, 0):
+        monkeypatch.setattr(nodes, "SENT_ROWS", sent)
+        got = dict(nodes.score_nodes(table, rows, "i", "f", 2, False).collect())
+        assert got == {i: pytest.approx((p + 2.4) / 4) for i, p in enumerate(leaf)}
