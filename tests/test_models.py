@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -220,3 +221,17 @@ def test_sets_of_categories_and_gaps_between_node_numbers(spark, monkeypatch):
         monkeypatch.setattr(nodes, "SENT_ROWS", sent)
         got = dict(nodes.score_nodes(table, rows, "i", "f", 2, False).collect())
         assert got == {i: pytest.approx((p + 2.4) / 4) for i, p in enumerate(leaf)}
+
+
+def test_the_forest_keeps_the_nodes_of_rows(sides):
+    """No row goes down from the roots at every level; the trees are the same as when it does."""
+    train, test = sides
+    fitted = model.fit_forest(train, CONFIG)
+    last = fitted.stages[-1]
+    assert last.getCacheNodeIds()
+    weighted = model._with_weights(train)[0]
+    again = RandomForestClassifier(
+        **model._COLUMNS, weightCol=model.WEIGHT, numTrees=CONFIG.trees, maxDepth=CONFIG.tree_depth,
+        minInstancesPerNode=CONFIG.tree_min_rows, featureSubsetStrategy="sqrt", seed=CONFIG.seed,
+    ).fit(PipelineModel(fitted.stages[:-1]).transform(weighted))
+    assert last.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
