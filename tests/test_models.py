@@ -7,6 +7,8 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+import check
+from oracles import ORACLES
 from sitewatch.operators import evaluate, history, model, nodes
 from sitewatch.plans import stages
 from sitewatch.plans.catalog import CATALOG
@@ -112,6 +114,16 @@ def test_the_importance_query_returns_every_feature(spark):
     assert sum(r["importance"] for r in ranked) == pytest.approx(1, abs=5e-5 * len(got))
 
 
+def test_the_importance_query_has_all_that_its_former_sql_had(spark):
+    """Its SQL went to ml_importance_facts; rows and columns of that are in the query beside the values."""
+    folder = "/root/testdata/sf0.001"
+    got = CATALOG["ml_importance"](spark, folder)
+    assert {"importance", "place"} < set(got.columns)
+    facts = got.select("feature", "not_negative", "total")
+    ok, note = check.compare(facts, check.oracle_connection(folder), ORACLES["ml_importance_facts"])
+    assert ok, note
+
+
 def test_predictions_cover_every_tower(spark, folder, logistic):
     rows = observations(spark, folder)
     predicted = stages.predictions(logistic, history.full_history(rows))
